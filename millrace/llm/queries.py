@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import piece_codec, pivot_index, token_counts, warc_bundles
+from millrace.llm import piece_codec, pivot_index, signature_join, token_counts, warc_bundles
 from millrace.llm._shared import shared_dir
 
 QUERIES: dict = {}
@@ -25,6 +25,10 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -44,7 +48,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES |= {f.__name__: f for f in (op2_seekable_warc, op7_token_counts, op8_pivot_index, op10_piece_codec)}
+QUERIES |= {f.__name__: f for f in (op2_seekable_warc, op6_signature_join, op7_token_counts, op8_pivot_index, op10_piece_codec)}
 
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),
@@ -55,3 +59,16 @@ select page_id, payload_bytes,
   case when newest is distinct from page_id then newest end as refers_to
 from r
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+ORACLES["op6_signature_join"] = f"""
+with recursive w as (select doc_id, {_WORDS} as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, r.component_id
+from sets s join (select a, min(b) as component_id from reach group by a) r on s.doc_id = r.a
+"""
