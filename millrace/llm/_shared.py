@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join is broadcast (rows of a few dozen bytes); beyond it, a shuffle join.
@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return read
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows go to Python at once: an executor holds a few batches of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written table: it is broadcast if its counted rows are few enough, else both sides are shuffled."""
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
@@ -79,6 +86,16 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def for_training(doc_id: str = "doc_id") -> Column:
+    """Whether labels of a document may be learnt from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 != 2
+
+
+def first_by_hash(ids: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """A fixed sample: the `most` rows whose keys have the smallest hashes, as a written table."""
+    return written(ids.orderBy(F.xxhash64(key), key).limit(most), "sample")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the component its smallest node.
 

@@ -13,6 +13,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Whatever is neither an ASCII letter nor of a longer character.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,22 +40,29 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Words:
-    """The words of texts: where they begin and end in `buffer`, their hashes, and `first`, the first word of each text."""
+    """The words of texts: where they begin and end in `buffer`, their hashes, and `first`, the first word of each text.
 
-    def __init__(self, texts: list[bytes], lower: bool = True, hashes: bool = True) -> None:
+    between: a table of the bytes that are no part of a word; it holds the line feed.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = True, hashes: bool = True, between: np.ndarray = SPACE) -> None:
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths + 1)])  # of each text in the buffer
         self.buffer = LOWER[joined] if lower else joined
-        inside = ~SPACE[joined]
+        inside = ~between[joined]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.offset)
         if hashes:
-            up, down = _powers(len(joined) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.buffer] * up[: len(joined)])])
-            length = (self.end - self.start).astype(np.uint64)
-            self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start] + length * _U(0xD6E8FEB86659FD93))
+            up, _ = _powers(len(joined) + 1)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.buffer] * up[: len(joined)])])
+            self.hash = self.hashed(self.end)
+
+    def hashed(self, end: np.ndarray) -> np.ndarray:
+        """Hashes of what lies from each word's start to `end`."""
+        length = (end - self.start).astype(np.uint64)
+        return mixed((self.sums[end] - self.sums[self.start]) * _POWERS[1][self.start] + length * _U(0xD6E8FEB86659FD93))
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import piece_codec, pivot_index, signature_join, token_counts, warc_bundles
+from millrace.llm import piece_codec, pivot_index, quality_nbsvm, signature_join, token_counts, toxicity_pu, warc_bundles
 from millrace.llm._shared import shared_dir
 
 QUERIES: dict = {}
@@ -25,6 +25,17 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _classified(spark: SparkSession, sf_dir: str, classifier, least: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality_nbsvm, 0.7)
+
+
 def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
@@ -38,6 +49,10 @@ def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity_pu, 0.3)
+
+
 def op10_digest(coded: DataFrame) -> DataFrame:
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
@@ -48,7 +63,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES |= {f.__name__: f for f in (op2_seekable_warc, op6_signature_join, op7_token_counts, op8_pivot_index, op10_piece_codec)}
+QUERIES |= {f.__name__: f for f in (op2_seekable_warc, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
 
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),

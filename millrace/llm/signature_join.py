@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import components, raw_texts, slices, small_join, written
+from millrace.llm._shared import components, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Words of a shingle; two sets link if 100 * intersection >= PERCENT * union.
@@ -273,6 +273,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     with a null key are returned with a null component and link nothing; repeated rows of a key with one text are equal
     rows. Texts are read whole; an empty table gives no rows; other columns play no part.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lost = docs.where("doc_id is null")
     docs = docs.where("doc_id is not null")

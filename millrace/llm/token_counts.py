@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm._shared import slices
+from millrace.llm._shared import slices, small_batches
 
 #: Characters of a chunk of a huge text, and of the first overlap.
 CHUNK, OVERLAP = 16_384, 256
@@ -111,6 +111,7 @@ def count_tokens(df: DataFrame, tokenizer_file: str, text: str = "text", out: st
     default. Texts of any length are counted whole; equal texts have equal counts; an empty table gives an empty one.
     A column of df of the same name as `out` is replaced.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.LongType())])
 

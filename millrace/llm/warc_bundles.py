@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import slices, small_join, written
+from millrace.llm._shared import slices, small_batches, small_join, written
 
 #: Raw bytes of a frame and of a bundle, about; a record larger than either has its own.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 23
@@ -149,6 +149,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
     all page_ids are null. A null html is an empty payload, a null url an empty one. Payloads of any length are
     whole; an empty table gives a folder without records; other columns play no part.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     same = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
