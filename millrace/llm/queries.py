@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import piece_codec, pivot_index, quality_nbsvm, signature_join, token_counts, toxicity_pu, warc_bundles
+from millrace.llm import piece_codec, pivot_index, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
 from millrace.llm._shared import shared_dir
 
 QUERIES: dict = {}
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).withColumn("span", F.explode("spans"))
+    inside = F.filter("cuts", lambda c: (c["start"] >= F.col("span.start")) & (c["end"] <= F.col("span.end")))
+    cut = F.aggregate(inside, F.lit(0), lambda n, c: n + c["end"] - c["start"])
+    return found.select("doc_id", F.col("span.start").alias("start_word"), F.col("span.end").alias("end_word"), cut.alias("cut_words"))
+
+
 def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/millrace/warc-{uuid.uuid4().hex}"
     warc_bundles.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -63,7 +70,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES |= {f.__name__: f for f in (op2_seekable_warc, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
+QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
 
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),
@@ -87,3 +94,17 @@ reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b f
 select s.doc_id, len(s.s)::bigint as n_shingles, r.component_id
 from sets s join (select a, min(b) as component_id from reach group by a) r on s.doc_id = r.a
 """
+
+ORACLES["op1_suffix_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, unnest(range(0, len(w) - 49)) as s, w from w where len(w) >= 50),
+y as (select doc_id, s, array_to_string(w[s + 1:s + 50], ' ') as g from x),
+z as (select doc_id, s, count(*) over (partition by g) as n, row_number() over (partition by g order by doc_id, s) > 1 as later from y),
+r as (select doc_id, s, later from z where n > 1),
+i as (select *, sum(case when s <= p + 50 then 0 else 1 end) over (partition by doc_id order by s) as k from (select *, lag(s) over (partition by doc_id order by s) as p from r)),
+spans as (select doc_id, min(s) as a, max(s) + 50 as b from i group by doc_id, k),
+j as (select *, sum(case when s <= p + 50 then 0 else 1 end) over (partition by doc_id order by s) as k from (select doc_id, s, lag(s) over (partition by doc_id order by s) as p from r where later)),
+cuts as (select doc_id, min(s) as a, max(s) + 50 as b from j group by doc_id, k)
+select spans.doc_id, spans.a::int as start_word, spans.b::int as end_word, coalesce(sum(cuts.b - cuts.a), 0)::int as cut_words
+from spans left join cuts on spans.doc_id = cuts.doc_id and cuts.a >= spans.a and cuts.b <= spans.b group by spans.doc_id, spans.a, spans.b
+"""
