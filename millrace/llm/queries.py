@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import piece_codec, pivot_index, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
+from millrace.llm import piece_codec, pivot_index, ppm_scores, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
 from millrace.llm._shared import shared_dir
 
 QUERIES: dict = {}
@@ -32,6 +32,11 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ppm_scores.scores(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def _classified(spark: SparkSession, sf_dir: str, classifier, least: float) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -70,7 +75,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
+QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op3_ppm_scores, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
 
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),
