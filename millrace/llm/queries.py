@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import piece_codec, pivot_index, ppm_scores, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
+from millrace.llm import latent_leaks, piece_codec, pivot_index, ppm_scores, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
 from millrace.llm._shared import shared_dir
 
 QUERIES: dict = {}
@@ -48,6 +48,10 @@ def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_nbsvm, 0.7)
 
 
+def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
@@ -75,7 +79,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest(piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op3_ppm_scores, op4_quality_nbsvm, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
+QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op3_ppm_scores, op4_quality_nbsvm, op5_latent_leaks, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
 
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),
