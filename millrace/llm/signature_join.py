@@ -6,6 +6,7 @@
 2. Two sets that link share one of the first shingles of each, in any order that is the same for all: of n shingles, the
    first n - ceil(0.8 n) + 1. The order puts the shingles that are frequent anywhere last, so that the blocks of nodes with
    a shingle in common are small; it has no influence on the result.
+   Pairs are only held against each other where the shingle stands so early in both that it can be the first they share.
 3. In each block every node is held against the block's first one; those pairs that their signatures can't refuse are
    verified on the whole sets, and links are joined into components. So a large group of near copies takes about as
    many pairs as it has members.
@@ -124,7 +125,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(shingle, doc_id, n) for the first shingles of each document, of equal sets of a task but once."""
+    """(shingle, doc_id, n, at) for the first shingles of each document and their places; of equal sets of a task but once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -136,9 +137,9 @@ def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int,
             if rows:
                 count = [len(x[2]) for x in rows]
                 flat = np.concatenate([x[2] for x in rows]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat([x[0] for x in rows], count)), pa.array(np.repeat([x[1] for x in rows], count))], names=["shingle", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat([x[0] for x in rows], count)), pa.array(np.repeat([x[1] for x in rows], count)), pa.array(np.concatenate([np.arange(c) for c in count]))], names=["shingle", "doc_id", "n", "at"])
 
-    return docs.mapInArrow(run, "shingle long, doc_id long, n long")
+    return docs.mapInArrow(run, "shingle long, doc_id long, n long, at long")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -177,10 +178,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
 
 
 class TreeNode:
-    """Members i to j of a leaf, by size: their range of sizes, the OR of their bitmaps, and their components' range."""
+    """Members of a leaf, by size: their range of sizes, the OR of their bitmaps, and their groups' range."""
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, bits: np.ndarray) -> None:
-        self.ids, self.n, self.group, self.bits = ids, n, group, bits
+    def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+        self.ids, self.n, self.group, self.at, self.bits = ids, n, group, at, bits
         self.any = np.bitwise_or.reduce(bits)
         # a set's shared shingles are at most the shared bits and those of its own that fell on one bit
         self.slack = int((n - np.bitwise_count(bits).sum(axis=1)).max())
@@ -189,7 +190,7 @@ class TreeNode:
 
     def halves(self) -> list[TreeNode]:
         k = len(self.ids) // 2
-        return [TreeNode(self.ids[p], self.n[p], self.group[p], self.bits[p]) for p in (slice(0, k), slice(k, None))]
+        return [TreeNode(self.ids[p], self.n[p], self.group[p], self.at[p], self.bits[p]) for p in (slice(0, k), slice(k, None))]
 
     @staticmethod
     def can_link(a: TreeNode, b: TreeNode, percent: int) -> bool:
@@ -201,17 +202,32 @@ class TreeNode:
         most = min(shared + min(a.slack, b.slack), a.most, b.most)
         return links(most, max(a.least, most), max(b.least, most), percent)
 
+    @staticmethod
+    def singles(a: TreeNode, b: TreeNode, percent: int) -> Iterator[tuple[int, int]]:
+        """The pairs of a member of each that no bound refuses, at once."""
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(len(a.ids)), np.arange(len(b.ids)), indexing="ij"))
+        total = percent * (a.n[x] + b.n[y])
+        # if this is the first shingle that both hold, they share none before their places
+        ok = (a.group[x] != b.group[y]) & ((100 + percent) * np.minimum(a.n[x] - a.at[x], b.n[y] - b.at[y]) >= total)
+        if a is b:
+            ok &= x < y
+        x, y, total = x[ok], y[ok], total[ok]
+        p, q = a.bits[x], b.bits[y]
+        most = np.minimum(a.n[x] - np.bitwise_count(p & ~q).sum(axis=1), b.n[y] - np.bitwise_count(q & ~p).sum(axis=1))
+        ok = (100 + percent) * most >= total
+        p, q = a.ids[x[ok]], b.ids[y[ok]]
+        yield from zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)
+
     @staticmethod
     def pairs(a: TreeNode, b: TreeNode, percent: int) -> Iterator[tuple[int, int]]:
-        """Dual traversal: the pairs of single members that no bound refuses."""
+        """Dual traversal, down to some hundred pairs of members, which are held against each other at once."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            if not TreeNode.can_link(a, b, percent):
+            if len(a.ids) * len(b.ids) <= 256:
+                yield from TreeNode.singles(a, b, percent)
+            elif not TreeNode.can_link(a, b, percent):
                 continue
-            if len(a.ids) == len(b.ids) == 1:
-                if a.ids[0] != b.ids[0] and links(most_overlap(a.n[0], a.bits[0], b.n[0], b.bits[0]), a.n[0], b.n[0], percent):
-                    yield min(a.ids[0], b.ids[0]), max(a.ids[0], b.ids[0])
             elif a is b:
                 x, y = a.halves()
                 todo += [(x, x), (x, y), (y, y)]
@@ -222,7 +238,7 @@ class TreeNode:
 
 
 def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """blocks (shingle, node, n, size, group): pairs of nodes of a block and different groups that may link."""
+    """blocks (shingle, node, n, at, size, group): pairs of nodes of a block and different groups that may link."""
     words = TREE_BITS // 64
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +253,7 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .withColumn("class", F.floor(F.ln("n") / F.lit(step)).cast("long"))
         .withColumn("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LEAF)))
     )
-    leaves = written(placed.groupBy("shingle", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.collect_set(F.struct("node", "n", "group", "bits")).alias("members")), "join-leaves")
+    leaves = written(placed.groupBy("shingle", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.collect_set(F.struct("node", "n", "group", "at", "bits")).alias("members")), "join-leaves")
     a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "leaf", "g0", "g1", "members"))) for x in "ab")
     two = a.join(b, "shingle").where(
         "((class_a = class_b and leaf_a <= leaf_b) or class_a + 1 = class_b) and not (g0_a = g1_a and g0_b = g1_b and g0_a = g0_b)"
@@ -245,21 +261,22 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def node(members: pa.Scalar) -> TreeNode:
         x = members.values
+        ids, n, group, at = (x.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "group", "at"))
         bits = np.frombuffer(b"".join(x.field("bits").to_pylist()), np.uint64).reshape(len(x), -1)
-        n = x.field("n").to_numpy(zero_copy_only=False)
-        order = np.lexsort([x.field("node").to_numpy(zero_copy_only=False), n])
-        return TreeNode(x.field("node").to_numpy(zero_copy_only=False)[order], n[order], x.field("group").to_numpy(zero_copy_only=False)[order], bits[order])
+        order = np.lexsort([ids, n])
+        return TreeNode(*(v[order] for v in (ids, n, group, at, bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
         for batch in batches:
-            found: set[tuple[int, int]] = set()
             for x, y, same in zip(batch.column("members_a"), batch.column("members_b"), batch.column("same").to_pylist(), strict=True):
                 left = node(x)
                 found.update(TreeNode.pairs(left, left if same else node(y), percent))
-                if len(found) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
-                    found = set()
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+            if len(found) > 500_000:
+                yield rows()
+                found = set()
+        yield rows()
 
     return two.mapInArrow(run, "a long, b long").distinct()
 
@@ -289,11 +306,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     nodes = written(small_join(rows.where("n > 0"), member.where("node = doc_id and n > 0").select("doc_id").distinct(), ["doc_id"]).select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "join-nodes")
 
     entries = written(_entries(docs, frequent, rank, size, percent), "join-entries")
-    entries = small_join(entries, member.where("n > 0").select("doc_id", "node").distinct(), ["doc_id"]).select("shingle", "node", "n")
-    shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub.node < last").select("shingle", "hub", "size"), "join-shared")
-    blocks = written(small_join(entries, shared, ["shingle"]).where("node <> hub.node").select("shingle", "node", "n", "hub", "size"), "join-blocks")
+    entries = small_join(entries, member.where("n > 0").select("doc_id", "node").distinct(), ["doc_id"]).select("shingle", "node", "n", "at")
+    shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub.node < last").select("shingle", "hub", "size"), "join-shared")
+    blocks = written(small_join(entries, shared, ["shingle"]).where("node <> hub.node").select("shingle", "node", "n", "at", "hub", "size"), "join-blocks")
 
-    fits = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
+    # if this is the first shingle that both hold, they share none before their places
+    fits = f"{100 + percent} * least(n - at, hub.n - hub.at) >= {percent} * (n + hub.n)"
     pairs = blocks.where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     possible = written(_possible(pairs, nodes, percent), "join-possible")
     best = possible.groupBy("b").agg(F.max(F.struct("most", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
@@ -304,7 +322,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         return written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "join-groups")
 
     groups = grouped(first)
-    open_ = small_join(blocks.select("shingle", "node", "n", "size"), groups, ["node"])
+    open_ = small_join(blocks.select("shingle", "node", "n", "at", "size"), groups, ["node"])
     mixed_ = written(open_.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("shingle"), "join-mixed")
     left = _possible(_tree_pairs(small_join(open_, mixed_, ["shingle"]), nodes, percent), nodes, percent)
     rest = possible.select("a", "b").union(left.select("a", "b")).distinct()
