@@ -2,12 +2,12 @@
 
 Terms are the benchmark's words. A document's passages are 64 words long, a new one every 32; a benchmark item's pieces
 are 32 words long, a new one every 16, so a passage holds any piece that stands in the document whole. Vectors are TF-IDF, with
-the words' counts in all documents; terms that make up more than a two-hundredth of all words have no weight.
+the words' counts in all documents; terms that make up more than a four-thousandth of all words have no weight.
 
 1. Documents are read once: what is kept of them is where terms stand. Other words match nothing.
 2. The right singular vectors of the passages' matrix, in which the pieces have rows of a large weight, come from a
-   randomised range: one pass over all passages multiplies the matrix's square with a few hundred probing vectors, as many
-   as there are pieces and 32 more, and a Nystroem step on the driver, of the size of terms times probes, gives the basis.
+   randomised range: one pass over all passages multiplies the matrix's square with probing vectors, the pieces (or fewer
+   random sums of them) and 32 random ones, 320 at most, and a Nystroem step on the driver, of the size of terms times probes, gives the basis.
 3. Passages whose projection has a cosine of 0.35 or more with a piece's are candidates for its item. All passages are held
    against all pieces, by blocks.
 4. A candidate's neighbourhood is read for the longest common subsequence with the item. 0.8 of the item's words, in order,
@@ -31,7 +31,7 @@ from millrace.llm._text import SPACE, Words
 
 #: Words of half a passage, which is a piece's length; items of a block; probing vectors beyond the pieces', and in all;
 #: the share of all words from which on a term has no weight; the pieces' weight among the passages.
-HALF, ITEMS, EXTRA, PROBES, STOP, WEIGHT = 32, 4_096, 32, 512, 1 / 200, 1e3
+HALF, ITEMS, EXTRA, PROBES, STOP, WEIGHT = 32, 4_096, 32, 320, 1 / 4_000, 1e3
 COSINE, COPY, PARAPHRASE = 0.35, 0.8, 0.55
 #: The answer is an item's last words: such a share, three at least; so much of it must be found.
 ANSWER, ANSWERED = 0.2, 0.6
@@ -79,12 +79,12 @@ def _halves(counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return half, of, np.arange(begin[-1]) - begin[of]
 
 
-def _sums(half: np.ndarray, term: np.ndarray, weight: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
-    """For each half passage, the sum of its terms' weighted rows of the table."""
+def _sums(half: np.ndarray, term: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """For each half passage, the sum of its terms' rows of the table."""
     out = np.zeros((n, table.shape[1]), np.float32)
     if len(half):
         new = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        out[half[new]] = np.add.reduceat(table[term] * weight[term, None], new, axis=0)
+        out[half[new]] = np.add.reduceat(table[term], new, axis=0)
     return out
 
 
@@ -101,6 +101,20 @@ def _blocks(blob: bytes, weight: np.ndarray, most: int = 30_000) -> Iterator[tup
         start = stop
 
 
+def common_length(item: np.ndarray, words: np.ndarray) -> int:
+    """The length of a longest common subsequence, by bits of one integer."""
+    place: dict[int, int] = {}
+    for j, t in enumerate(item.tolist()):
+        place[t] = place.get(t, 0) | 1 << j
+    full = (1 << len(item)) - 1
+    row = full
+    for w in words.tolist():
+        if m := place.get(w):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    return len(item) - row.bit_count()
+
+
 def subsequence(item: np.ndarray, words: np.ndarray) -> tuple[int, np.ndarray]:
     """The length of a longest common subsequence, and which of the item's words are in one."""
     if not len(words) or not len(item):
@@ -121,7 +135,9 @@ def subsequence(item: np.ndarray, words: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def judged(item: np.ndarray, words: np.ndarray) -> tuple[float, bool, bool]:
-    """The share of the item's words in order, whether its answer is found, and whether it is a leak."""
+    """The share of the item's words in order (0 if it is too small), whether its answer is found, and whether it is a leak."""
+    if common_length(item, words) < PARAPHRASE * len(item):
+        return 0.0, False, False
     length, found = subsequence(item, words)
     answer = found[-max(3, int(np.ceil(ANSWER * len(item)))) :]
     share, answered = length / max(1, len(item)), bool(answer.mean() >= ANSWERED) if len(answer) else False
@@ -139,7 +155,7 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, probe = shared.value
-        total = np.zeros(probe.shape)
+        total, weighted = np.zeros(probe.shape), probe * w[:, None]
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
             for _, counts, at, term in _blocks(blob, w):
                 half, of, _ = _halves(counts, at)
@@ -147,7 +163,7 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
                 half, term = half[used], term[used]
                 if not len(half):
                     continue
-                y = _sums(half, term, w, probe, len(of))
+                y = _sums(half, term, weighted, len(of))
                 # a passage is a half and the next one of the same text, or a text's only half
                 pair = np.flatnonzero(of[1:] == of[:-1])
                 single = np.flatnonzero(np.bincount(of, minlength=len(counts))[of] == 1)
@@ -211,10 +227,10 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
     table = table.where("blob is not null").select("blob")
     basis = _basis(table, bench, weight)
     pieces = bench.vectors(weight) @ basis
-    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), basis.astype(np.float32), pieces.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), pieces.astype(np.float32)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, basis_, pieces_ = shared.value
+        own, w, weighted, pieces_ = shared.value
         item_of = np.array([k for k, _ in own.pieces])
         scale = np.maximum(np.linalg.norm(pieces_, axis=1), 1e-9)
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
@@ -225,7 +241,7 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
                 h, t = half[used], term[used]
                 if not len(h):
                     continue
-                y = _sums(h, t, w, basis_, len(of))
+                y = _sums(h, t, weighted, len(of))
                 # a passage's length counts each term's weights together, in its whole vector and not in the projection
                 pair = np.append(of[1:] == of[:-1], False)
                 vector = y + np.where(pair[:, None], np.roll(y, -1, axis=0), 0)
