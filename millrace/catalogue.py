@@ -1,18 +1,364 @@
-"""Registered queries and their DuckDB forms."""
+"""Registered queries of the key/value engine over the given tables, and their DuckDB forms.
+
+Each query goes through the operators; order is shown as data (ranks, partition numbers), since results are compared as sets.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text as fn
+from millrace.operators import counters, mapping, ordering, partitioning, pipes, reducing
+from millrace.plans import terasort as tera
+from millrace.plans.job import Job
+from millrace.sources import generators, readers, writers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(oracle: str | None = None):  # noqa: ANN201
+    def put(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _kv(spark: SparkSession, sf_dir: str, name: str, key: str, value: str) -> DataFrame:
+    return readers.from_dataframe(_table(spark, sf_dir, name), F.expr(key), F.expr(value))
+
+
+_SPLIT = r"(select unnest(string_split_regex(text, '[ \r\n\t\f]+')) as w from documents)"
+_ASCII_HASH = "list_reduce(list_prepend(1::bigint, list_transform(range(1, 1 + length({0})), lambda i: ascii({0}[i])::bigint)), lambda h, x: (31 * h + x) & 4294967295)"
+
+
+# maps and counts
+
+
+@query(f"select w, count(*) as cnt from {_SPLIT} where w <> '' group by w")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.split(F.col("text"), "[ \\r\\n\\t\\f]+")).alias("w")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(words).where("w <> ''").groupBy("w").agg(F.count("*").alias("cnt"))
+    counted = Job(spark).input(frame=_kv(spark, sf_dir, "documents", "''", "text")).mapper("core.tokens").reducer("core.int_sum")
+    return counted.records().select(F.col("key").alias("w"), F.col("value").alias("cnt"))
+
+
+@query(f"select w, count(*) as cnt from {_SPLIT} where w <> '' group by w")
+def udtf_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's table function as mapper."""
+
+    class Words:
+        def eval(self, value: str):  # noqa: ANN202
+            for w in (value or "").replace("\r", " ").replace("\n", " ").replace("\t", " ").replace("\f", " ").split(" "):
+                if w:
+                    yield w, 1
+
+    spark.udtf.register("word_pairs", F.udtf(Words, returnType="key string, value int"))
+    pairs = mapping.table_function(_kv(spark, sf_dir, "documents", "''", "text"), "word_pairs", "value")
+    return reducing.int_sum(pairs).select(F.col("key").alias("w"), F.col("value").alias("cnt"))
+
+
+@query("select o_orderkey::varchar as key, o_orderpriority as value from orders")
+def identity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Job(spark).input(frame=_kv(spark, sf_dir, "orders", "string(o_orderkey)", "o_orderpriority")).reduces(0).records()
+
+
+@query("select l_returnflag as key, (l_orderkey * 10 + l_linenumber)::bigint as value from lineitem where l_quantity > 45 and l_linestatus = 'O'")
+def map_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    return mapping.projected(lines, F.col("l_returnflag"), F.expr("l_orderkey * 10 + l_linenumber").cast("bigint"), (F.col("l_quantity") > 45) & (F.col("l_linestatus") == "O"))
+
+
+@query("select e.event_type as key, e.user_id::varchar as value from events e, range(2) where e.user_id % 3 = 0")
+def record_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's mapper that emits none or two records for each."""
+    return mapping.record_map(_kv(spark, sf_dir, "events", "event_type", "string(user_id)"), lambda k, v: [(k, v)] * 2 if int(v) % 3 == 0 else [])
+
+
+@query("select c_mktsegment as key, length(c_name)::int as value from customer")
+def arrow_batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler of whole batches."""
+
+    def handler(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.utf8_length(b.column(1))], names=["key", "value"])
+
+    return mapping.arrow_map(_kv(spark, sf_dir, "customer", "c_mktsegment", "c_name"), handler, "key string, value int")
+
+
+# readers and writers
+
+
+@query(r"select doc_id, case when ends_with(x, chr(13)) then x[1:length(x) - 1] else x end as line from (select doc_id, unnest(case when ends_with(text, chr(10)) then list_slice(string_split(text, chr(10)), 1, -2) else string_split(text, chr(10)) end) as x from documents)")
+def line_reader_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(readers.split_lines(F.col("text"))).alias("line"))
+
+
+@query("select event_id, case when instr(x, ':') > 0 then x[1:instr(x, ':') - 1] else x end as key, case when instr(x, ':') > 0 then x[instr(x, ':') + 1:] else '' end as value from (select event_id, coalesce(props, '') as x from events)")
+def kv_line_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, value = readers.first_split(F.coalesce("props", F.lit("")), ":")
+    return _table(spark, sf_dir, "events").select("event_id", key.alias("key"), value.alias("value"))
+
+
+@query("select p_partkey, p_name[1:10] as key, p_name[11:] as value from part")
+def tera_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, value = readers.fixed_prefix(F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+
+_KV_CASES = "select case when o_orderkey % 3 = 0 then '' else o_orderpriority end as k, case when o_orderkey % 5 = 0 then '' else o_orderstatus end as v, o_orderkey from orders"
+
+
+@query(f"select o_orderkey, case when k <> '' and v <> '' then k || chr(9) || v when v = '' then k else v end as line from ({_KV_CASES})")
+def kv_text_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "if(o_orderkey % 3 = 0, '', o_orderpriority) as k", "if(o_orderkey % 5 = 0, '', o_orderstatus) as v")
+    return rows.select("o_orderkey", writers.kv_line(F.col("k"), F.col("v")).alias("line"))
+
+
+@query("select p_brand || chr(9) || count(*) as line from part group by p_brand")
+def text_int_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = reducing.count_records(_kv(spark, sf_dir, "part", "p_brand", "p_size"))
+    return counted.select(writers.text_int_line(F.col("key"), F.col("value")).alias("line"))
+
+
+@query("select c_name as key, c_mktsegment as value from customer")
+def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as compressed text by a map-only job, and read back as key/value lines."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    target = f"{folder}/round-trip-{abs(hash(sf_dir)) % 10**9}"
+    writers.write_kv(_kv(spark, sf_dir, "customer", "c_name", "c_mktsegment"), target, compression="gzip", mode="overwrite")
+    return readers.key_value_lines(spark, target)
+
+
+# partitions
+
+
+@query(f"select c_mktsegment as key, (({_ASCII_HASH.format('c_mktsegment')} & 2147483647) % 7)::int as partition, count(*) as records from customer group by all")
+def hash_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("records"))
+    return keys.select("key", fn.partition_by_hash(F.col("key"), 7).alias("partition"), "records")
+
+
+@query("select (o_orderkey % 5)::int as partition, count(*) as records, (o_orderkey % 5)::int as dealt_to from orders group by all")
+def explicit_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = partitioning.explicit(_table(spark, sf_dir, "orders"), 5, F.col("o_orderkey") % 5)
+    return dealt.groupBy((F.col("o_orderkey") % 5).cast("int").alias("partition"), F.spark_partition_id().alias("dealt_to")).agg(F.count("*").alias("records"))
+
+
+_CUTS = ["Brand#2", "Brand#31", "Brand#4"]
+
+
+@query("select p_partkey, len(list_filter(['Brand#2', 'Brand#31', 'Brand#4'], lambda c: c <= p_brand))::int as partition from part")
+def range_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", partitioning.total_order(F.col("p_brand"), _CUTS).alias("partition"))
+
+
+@query(
+    "with k as (select c_custkey, c_name, (row_number() over (order by c_name) - 1) as r, count(*) over () as n from customer), "
+    "cuts as (select list(c_name order by c_name) as c from k, range(1, 50) t(i) where r = floor(n / 50.0 * i + 0.5)) "
+    "select c_custkey, len(list_filter(c, lambda x: x <= c_name))::int as partition from k, cuts"
+)
+def sampled_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 partitions by cut points that a sample gives (here of all keys)."""
+    people = _table(spark, sf_dir, "customer")
+    cuts = partitioning.sample_cuts(people, 50, "c_name")
+    return people.select("c_custkey", partitioning.total_order(F.col("c_name"), cuts).cast("int").alias("partition"))
+
+
+@query("select p_type[1:2] as key, count(*) as records from part group by 1")
+def truncated_key_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = partitioning.truncated(_kv(spark, sf_dir, "part", "p_type", "p_size"), 2)
+    return reducing.count_records(short).withColumnRenamed("value", "records")
+
+
+# order
+
+
+@query("select (o_orderkey % 4)::int as partition, o_orderkey as key, row_number() over (partition by o_orderkey % 4 order by o_orderkey::varchar) as place from orders")
+def sort_within_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partition's records in key order, numbered as they stand."""
+    rows = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("partition"), F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("text"))
+    dealt = ordering.sort_within(partitioning.explicit(rows, 4, F.col("partition")), "text")
+
+    def numbered(batches):  # noqa: ANN001, ANN202
+        at = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("partition"), b.column("key"), pa.array(range(at + 1, at + 1 + b.num_rows), pa.int64())], names=["partition", "key", "place"])
+            at += b.num_rows
+
+    return dealt.mapInArrow(numbered, "partition int, key long, place long")
+
+
+@query("select p_partkey, (row_number() over (order by p_name, p_partkey) - 1) as place from part")
+def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total order: a partition's first place is the number of records in those before it."""
+    ordered = ordering.total_sort(_table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", "p_partkey")
+    return ordered.rdd.map(lambda r: r.p_partkey).zipWithIndex().toDF("p_partkey long, place long")
+
+
+@query("with k as (select c_custkey, round(c_acctbal * 100)::bigint as cents from customer) select c_custkey, cents, row_number() over (order by cents < 0, cents, c_custkey) as place from k")
+def byte_order_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed numbers as their big-endian bytes order them: negative ones last."""
+    cents = _table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"))
+    ordered = ordering.total_sort(cents.withColumn("below", F.col("cents") < 0), "below", "cents", "c_custkey")
+    return ordered.rdd.map(lambda r: (r.c_custkey, r.cents)).zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF("c_custkey long, cents long, place long")
+
+
+# reducers
+
+
+@query("select l_returnflag as key, sum(l_quantity::int)::bigint as value from lineitem group by 1")
+def int_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducing.int_sum(_kv(spark, sf_dir, "lineitem", "l_returnflag", "int(l_quantity)"))
+
+
+@query("select l_returnflag as key, (sum((l_extendedprice * 100)::bigint) % 4294967296)::bigint as value from lineitem group by 1")
+def int_sum_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducing.int_sum(_kv(spark, sf_dir, "lineitem", "l_returnflag", "bigint(round(l_extendedprice * 100))"), wrap=True)
+
+
+@query("select l_suppkey::varchar as key, sum(l_linenumber)::bigint as value from lineitem group by 1")
+def combiner_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's combiner before the exchange, and a user's reducer after it."""
+    add = lambda k, values: [(k, sum(values))]
+    schema = "key string, value long"
+    return reducing.reduced(reducing.combined(_kv(spark, sf_dir, "lineitem", "string(l_suppkey)", "bigint(l_linenumber)"), add, schema), add, schema)
+
+
+@query("select event_type as key, count(*) as value from events group by 1")
+def count_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducing.count_records(_kv(spark, sf_dir, "events", "event_type", "value"))
+
+
+@query("select o_orderpriority as key, o_orderkey as value from orders")
+def identity_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Job(spark).input(frame=_kv(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey")).reducer("core.group_identity").records()
+
+
+@query("select upper(event_type) as key, event_id::varchar as value from events")
+def passive_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducing.passive(_kv(spark, sf_dir, "events", "event_type", "string(event_id)"), lambda k, v: [(k.upper(), v)])
+
+
+@query("select (l_shipdate::varchar)[1:7] as key, min(l_orderkey) as least, max(l_orderkey) as most, sum(l_linenumber)::bigint as total from lineitem group by 1")
+def fold_min_max_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _kv(spark, sf_dir, "lineitem", "substring(string(l_shipdate), 1, 7)", "struct(l_orderkey, l_linenumber)")
+    return reducing.folded(pairs, least=F.min("value.l_orderkey"), most=F.max("value.l_orderkey"), total=F.sum(F.col("value.l_linenumber").cast("bigint")))
+
+
+@query("select event_type as key, (count(*) * 1000000 + max(user_id))::varchar as value from events group by 1")
+def custom_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's fold whose states are joined after the exchange."""
+    return reducing.fold(
+        _kv(spark, sf_dir, "events", "event_type", "user_id"),
+        init=lambda key: (0, 0),
+        step=lambda s, v: (s[0] + 1, max(s[1], v)),
+        merge=lambda a, b: (a[0] + b[0], max(a[1], b[1])),
+        finish=lambda key, s: str(s[0] * 1_000_000 + s[1]),
+    )
+
+
+@query("select o_orderstatus as key, min(o_orderkey) as first, max(o_orderkey) as last, count(*) as n from orders group by 1")
+def grouped_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's reducer over a stream of values."""
+
+    def ends(key, values):  # noqa: ANN001, ANN202
+        low, high, n = None, None, 0
+        for v in values:
+            low, high, n = v if low is None else min(low, v), v if high is None else max(high, v), n + 1
+        yield key, low, high, n
+
+    return reducing.reduced(_kv(spark, sf_dir, "orders", "o_orderstatus", "o_orderkey"), ends, "key string, first long, last long, n long")
+
+
+@query("select l_linestatus as key, count(*) as value from lineitem group by 1")
+def nosort_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = ordering.unsorted(partitioning.by_hash(_kv(spark, sf_dir, "lineitem", "l_linestatus", "l_orderkey"), 4))
+    return reducing.count_records(pairs)
+
+
+@query("select c_custkey as key, c_name as left, o_orderpriority as right from customer join orders on c_custkey = o_custkey")
+def cogroup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducing.cogrouped(_kv(spark, sf_dir, "customer", "c_custkey", "c_name"), _kv(spark, sf_dir, "orders", "o_custkey", "o_orderpriority"))
+
+
+# counters
+
+
+@query("select (l_suppkey % 7)::int as partition, count(distinct l_partkey) as groups, count(*) as records from lineitem group by 1")
+def key_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_partkey"))
+    return counters.group_statistics(lines, (F.col("l_suppkey") % 7).cast("int"))
+
+
+@query("select count(*) as records, sum(octet_length(encode(c_name)) + octet_length(encode(c_mktsegment)))::bigint as bytes from customer")
+def map_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kv(spark, sf_dir, "customer", "c_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("records"), counters.record_bytes().alias("bytes"))
+
+
+@query()
+def crc_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(raw).alias("crc32"), F.xxhash64(raw).alias("xxhash64"))
+
+
+@query(
+    "select c_custkey, list_filter(list_transform(string_split(replace(c_name, '#', ' # '), '#'), lambda x: trim(x)), lambda x: x <> '') as parts, "
+    "array_to_string(string_split(c_name, '#'), '/') as joined, starts_with(c_name, 'Cust') as starts, ends_with(c_name, '7') as ends, lower(c_mktsegment) as low, lpad(c_custkey::varchar, 12, '0') as padded from customer"
+)
+def split_join_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        fn.split_on(F.replace(name, F.lit("#"), F.lit(" # ")), "#", clean=True).alias("parts"),
+        fn.joined(fn.split_on(name, "#"), "/").alias("joined"),
+        F.startswith(name, F.lit("Cust")).alias("starts"),
+        F.endswith(name, F.lit("7")).alias("ends"),
+        F.lower("c_mktsegment").alias("low"),
+        fn.padded(F.col("c_custkey"), 12, "0").alias("padded"),
+    )
+
+
+# the sort benchmark and external commands
+
+
+@query()
+def teragen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows as orders has."""
+    rows = _table(spark, sf_dir, "orders").count()
+    return generators.teragen(spark, rows).select("row", F.hex("key").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("select count(*)::bigint as records, 0::bigint as faults from orders")
+def terasort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows sorted: the records and the faults of their order."""
+    rows = generators.teragen(spark, _table(spark, sf_dir, "orders").count())
+    return tera.order_faults(tera.sorted_records(rows.select("key", "value")))
+
+
+@query("select o_orderkey::varchar as key, o_orderstatus as value from orders")
+def pipe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
+    return pipes.pipe_map(lines, "cat")
+
+
+@query("select '' as key, o_orderpriority || chr(9) || o_orderkey as value from orders")
+def pipe_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipes.pipe_reduce(_kv(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey"), "cat")
+
 
+@query("select event_type as key, user_id as value from events")
+def several_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input of several sets of records, one after another."""
+    pairs = _kv(spark, sf_dir, "events", "event_type", "user_id")
+    return pairs.where("value % 2 = 0").unionByName(pairs.where("value % 2 <> 0"))
 
-QUERIES["word_count"] = word_count
-ORACLES["word_count"] = r"select w, count(*) as cnt from (select unnest(string_split_regex(text, '[ \r\n\t\f]+')) as w from documents) where w <> '' group by w"
