@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import latent_leaks, piece_codec, quality_nbsvm, signature_join, suffix_dedup
-from millrace.llm._shared import small_join, written
+from millrace.llm._shared import free_name, small_join, written
 from millrace.llm.queries import op10_digest, table
 
 #: The least score of a document that stays.
@@ -28,13 +28,14 @@ LEAST_QUALITY = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least LEAST_QUALITY."""
     model = quality_nbsvm.train(docs, table(spark, sf_dir, "labels"))
-    return quality_nbsvm.scored(docs, model, "__score").where(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
+    score = free_name(docs, "__score")
+    return quality_nbsvm.scored(docs, model, score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each component that has its smallest doc_id."""
     gone = signature_join.linked(docs).where("component < doc_id").select("doc_id").distinct()
-    return small_join(docs, written(gone, "pipeline-copies"), ["doc_id"], "left_anti").select(docs.columns)
+    return small_join(docs, written(gone, "pipeline-copies"), ["doc_id"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     gone = latent_leaks.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return small_join(docs, written(gone, "pipeline-leaks"), ["doc_id"], "left_anti").select(docs.columns)
+    return small_join(docs, written(gone, "pipeline-leaks"), ["doc_id"], "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which the small side of a join is broadcast (rows of a few dozen bytes); beyond it, a shuffle join.
 BROADCAST_ROWS = 1_500_000
@@ -40,6 +41,22 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return read
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept_beside(df: DataFrame, text: str, replaced: list[str]) -> tuple[DataFrame, list[str], str, list[T.StructField]]:
+    """df's columns but those replaced, with the text as a string under a free name last: (rows, kept, that name, kept fields)."""
+    own = free_name(df, "__text")
+    kept = [c for c in df.columns if c not in replaced]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*map(quoted, kept), quoted(text).cast("string").alias(own)), kept, own, [df.schema[c] for c in kept]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most so many rows go to Python at once: an executor holds a few batches of whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import first_by_hash, for_training, packed, raw_texts, slices, small_batches, small_join, unpacked, written
+from millrace.llm._shared import first_by_hash, for_training, kept_beside, packed, raw_texts, slices, small_batches, small_join, unpacked, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Buckets of features; labelled rows that are learnt from (those with the smallest hashes of doc_id); texts that must
@@ -174,13 +175,11 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model.dump())
-    keep = [c for c in docs.columns if c != out]
+    rows, keep, text, fields = kept_beside(docs, "text", [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.load(blob.value)
-        for batch in (part for b in batches for part in slices(b, "__text")):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own.score(raw_texts(batch, "__text")))], names=[*keep, out])
+        for batch in (part for b in batches for part in slices(b, text)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own.score(raw_texts(batch, text)))], names=[*keep, out])
 
-    with_text = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_text.schema[:-1]) + f", `{out}` double"
-    return with_text.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import free_name, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, prefix_sums, runs, span_hash
 
 #: Words of a window, places among which a minimiser is chosen, and words whose hash is compared.
@@ -160,7 +160,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, places: int = PLACES)
 
     All other columns and all rows are kept, also those whose text becomes empty; texts without a cut are not touched.
     """
-    found = written(repeated_passages(docs, window, places).where(F.size("cuts") > 0).select("doc_id", F.col("cuts").alias("__cuts")), "passages-cuts")
+    name = free_name(docs, "__cuts")
+    found = written(repeated_passages(docs, window, places).where(F.size("cuts") > 0).select("doc_id", F.col("cuts").alias(name)), "passages-cuts")
     joined = small_join(docs, found, ["doc_id"], "left")
 
     @F.pandas_udf("string")
@@ -168,7 +169,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, places: int = PLACES)
         return text.combine(cuts, lambda t, c: t if t is None or c is None else cut_text(t.encode(), [(x["start"], x["end"]) for x in c]).decode())
 
     # rows without a cut don't go to Python: the two kinds are taken apart by a filter
-    changed = joined.where("__cuts is not null").withColumn("text", cut(F.col("text").cast("string"), "__cuts"))
+    changed = joined.where(F.col(name).isNotNull()).withColumn("text", cut(F.col("text").cast("string"), name))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns).unionByName(joined.where("__cuts is null").select(docs.columns))
+    order = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return changed.select(order).unionByName(joined.where(F.col(name).isNull()).select(order))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm._shared import slices, small_batches
+from millrace.llm._shared import kept_beside, slices, small_batches
 
 #: Characters of a chunk of a huge text, and of the first overlap.
 CHUNK, OVERLAP = 16_384, 256
@@ -112,14 +112,14 @@ def count_tokens(df: DataFrame, tokenizer_file: str, text: str = "text", out: st
     A column of df of the same name as `out` is replaced.
     """
     small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text, out)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.LongType())])
+    rows, keep, own, fields = kept_beside(df, text, [text, out])
+    schema = T.StructType([*fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(tokenizer_file)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                n = counter.count([t or "" for t in part.column("__text").to_pylist()])
+            for part in slices(batch, own):
+                n = counter.count([t or "" for t in part.column(own).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.array(n, np.int64))], names=[*keep, out])
 
-    return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
