@@ -31,7 +31,7 @@ from millrace.llm._text import Words, mixed, prefix_sums, runs, span_hash
 #: Words of a window, places among which a minimiser is chosen, and words whose hash is compared.
 WINDOW, PLACES, GRAM = 50, 26, 5
 #: Places of suffixes up to which they are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_PLACES = 3_000_000
+BROADCAST_PLACES = 200_000
 SPAN = "array<struct<start:int,end:int>>"
 
 
