@@ -81,10 +81,11 @@ def distinct(rows: list[np.ndarray], common: float = 0.05) -> list[np.ndarray]:
     out = []
     for x in rows:
         held = x[rare[x]].astype(np.uint64)
-        if not len(held):
-            held = x.astype(np.uint64)
-        least = [int(mixed(held + np.uint64(salt << 32)).min()) if len(held) else 0 for salt in range(1, 7)]
-        names = [tuple(least[k : k + 2]) for k in (0, 2, 4)]
+        if len(held) < 4:  # too few to tell a near copy by
+            names = [(x.tobytes(),)] * 3
+        else:
+            least = [int(mixed(held + np.uint64(salt << 32)).min()) for salt in range(1, 7)]
+            names = [tuple(least[k : k + 2]) for k in (0, 2, 4)]
         if not any(name in known for name, known in zip(names, seen, strict=True)):
             out.append(x)
         for name, known in zip(names, seen, strict=True):

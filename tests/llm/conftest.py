@@ -24,9 +24,14 @@ def nothing(spark):
     return frame(spark, [])
 
 
-def words(rnd, n, size=400):
+def word(k):
+    """An invented word for each number."""
+    return "w" + "".join("abcdefghij"[int(d)] for d in str(k))
+
+
+def words(rnd, n, size=1200):
     """n invented words."""
-    return [f"w{rnd.randrange(size)}x{rnd.randrange(3)}" for _ in range(n)]
+    return [word(rnd.randrange(size)) for _ in range(n)]
 
 
 @pytest.fixture

@@ -1,0 +1,109 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tests.llm.conftest import ODD, rows_of, words
+
+from millrace.llm import quality_nbsvm, toxicity_pu
+from millrace.llm._text import NO_LETTER, Words, runs
+
+
+def test_words_and_hashes():
+    texts = [b"", b" A b\tc\x0bd ", b"\n\n", b"one", "é日 x".encode(), b"a\x00b c"]
+    got = Words(texts)
+    for text, a, b in zip(texts, got.first[:-1], got.first[1:], strict=True):
+        assert [bytes(got.buffer[x:y]) for x, y in zip(got.start[a:b], got.end[a:b], strict=True)] == text.lower().split()
+    table = {}
+    rnd = random.Random(1)
+    many = [" ".join(words(rnd, 200)).encode() for _ in range(20)]
+    for block in (many, many[::-1], [m] if (m := b" ".join(many)) else []):
+        own = Words(block, lower=False)
+        for x, y, h in zip(own.start, own.end, own.hash, strict=True):
+            assert table.setdefault(bytes(own.buffer[x:y]), int(h)) == int(h)
+    assert len(set(table.values())) == len(table)
+    assert len(runs(got.hash, 100)) == 0
+    assert Words([b"it's 2x!"], between=NO_LETTER).start.tolist() == [0, 3, 6]
+
+
+def documents(rnd, n=600):
+    """Good and junk texts, some of them toxic, with labels for half of them."""
+    docs, labels = [], []
+    for k in range(n):
+        own = words(rnd, rnd.randrange(20, 150))
+        good, toxic = rnd.random() < 0.8, rnd.random() < 0.15
+        if not good:
+            own = [w.upper() + "!!" for w in own] if k % 2 else [x for w in own[:20] for x in [w] * 8]
+        if toxic:
+            for _ in range(rnd.randrange(1, 4)):
+                own.insert(rnd.randrange(len(own)), rnd.choice(["loser", "scumbag", "vermin"]))
+        docs.append(" ".join(own))
+        if k % 2 == 0:
+            labels.append((k, int(good), int(toxic), "x"))
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def data(spark, docs_of):
+    docs, labels = documents(random.Random(9))
+    labels += [(None, 1, 1, "x"), (3, None, None, "x"), (5, None, 0, "x"), (10**6, 1, 1, "x")]
+    return docs, labels, docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+
+
+def held_out(k):
+    return zlib.crc32(str(k).encode()) % 4 == 2
+
+
+@pytest.mark.parametrize(("classifier", "label", "column", "least"), [(quality_nbsvm, "quality", 1, 0.7), (toxicity_pu, "toxic", 2, 0.3)])
+def test_held_out_accuracy(spark, data, docs_of, nothing, classifier, label, column, least):
+    _, labels, df, known = data
+    model = classifier.train(df, known, label)
+    score = {r.doc_id: r.score for r in classifier.scored(df, model).collect()}
+    assert all(0 <= s <= 1 for s in score.values()) and len(score) == 600
+    test = [(score[x[0]] >= least, x[column]) for x in labels if x[0] in score and x[column] is not None and held_out(x[0])]
+    assert np.mean([bool(a) == bool(b) for a, b in test]) >= 0.93
+    odd = classifier.scored(docs_of(ODD + ODD), model).orderBy("doc_id").collect()
+    assert [r.score for r in odd[: len(ODD)]] == [r.score for r in odd[len(ODD) :]] and odd[0].score == odd[1].score
+    assert set(odd[0].asDict()) == set(nothing.columns)  # a column named score is replaced, the others stay
+    assert classifier.scored(nothing, model).count() == 0
+
+
+@pytest.mark.parametrize(("classifier", "label"), [(quality_nbsvm, "quality"), (toxicity_pu, "toxic")])
+def test_without_labels_or_documents(spark, docs_of, nothing, classifier, label):
+    known = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one_class = spark.createDataFrame([(k, 1, 1) for k in range(20)], "doc_id long, quality int, toxic int")
+    docs = docs_of([f"a b {k}" for k in range(20)])
+    for df, l in ((docs, known), (nothing, known), (docs, one_class), (nothing, one_class)):
+        model = classifier.train(df, l, label)
+        assert all(0 <= r.score <= 1 for r in classifier.scored(docs, model).collect())
+
+
+@pytest.mark.parametrize(("classifier", "label"), [(quality_nbsvm, "quality"), (toxicity_pu, "toxic")])
+def test_held_out_labels_teach_nothing(spark, data, classifier, label):
+    _, labels, df, known = data
+    turned = spark.createDataFrame([(k, 1 - q if k is not None and held_out(k) and q is not None else q, 1 - t if k is not None and held_out(k) and t is not None else t) for k, q, t, _ in labels], "doc_id long, quality int, toxic int")
+    a, b = (classifier.train(df, x, label) for x in (known, turned))
+    assert a.dump() == b.dump()
+
+
+def test_dual_coordinate_descent_separates():
+    rnd = np.random.default_rng(0)
+    rows = [np.unique(rnd.integers(0, 50, 12)) if k % 2 else np.unique(rnd.integers(40, 90, 12)) for k in range(400)]
+    model = quality_nbsvm.fit(rows, np.arange(400) % 2, buckets=128)
+    f = lambda x: (model.ratio[x] * model.weight[x]).sum() / max(np.sqrt((model.ratio[x] ** 2).sum()), 1e-9) + model.bias
+    assert np.mean([(f(r) > 0) == bool(k % 2) for k, r in enumerate(rows)]) > 0.98
+    again = quality_nbsvm.Model.load(model.dump())
+    assert np.allclose(again.weight, model.weight, atol=1e-5)
+
+
+def test_near_copies_count_once():
+    rnd = np.random.default_rng(3)
+    base = np.unique(rnd.integers(0, toxicity_pu.BUCKETS, 200))
+    near = [np.unique(np.r_[rnd.choice(base, 190, replace=False), rnd.integers(0, toxicity_pu.BUCKETS, 8)]) for _ in range(50)]
+    other = [np.unique(rnd.integers(0, toxicity_pu.BUCKETS, 200)) for _ in range(1500)]
+    kept = toxicity_pu.distinct(near + other)
+    assert 1500 <= len(kept) <= 1506
+
+
+def test_rows_helper():
+    assert len(rows_of(["a"])[0]) == 13
