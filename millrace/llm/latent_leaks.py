@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the benchmark's words. A document's passages are 64 words long, a new one every 32; a benchmark item's pieces
-are 32 words long, a new one every 16, so a passage holds any piece that stands in the document whole. Vectors are TF-IDF, with
+are 32 words long, one after another and one at its end, so a passage holds any piece that stands in the document whole. Vectors are TF-IDF, with
 the words' counts in all documents; terms that make up more than a four-thousandth of all words have no weight.
 
 1. Documents are read once: what is kept of them is where terms stand. Other words match nothing.
 2. The right singular vectors of the passages' matrix, in which the pieces have rows of a large weight, come from a
    randomised range: one pass over all passages multiplies the matrix's square with probing vectors, the pieces (or fewer
-   random sums of them) and 32 random ones, 320 at most, and a Nystroem step on the driver, of the size of terms times probes, gives the basis.
-3. Passages whose projection has a cosine of 0.35 or more with a piece's are candidates for its item. All passages are held
+   random sums of them) and 32 random ones, 224 at most, and a Nystroem step on the driver, of the size of terms times probes, gives the basis.
+3. Passages whose projection has a cosine of 0.33 or more with a piece's are candidates for its item. All passages are held
    against all pieces, by blocks.
 4. A candidate's neighbourhood is read for the longest common subsequence with the item. 0.8 of the item's words, in order,
    are a copy; 0.55 are a paraphrase if most of the item's answer, its last words, is among them.
@@ -31,8 +31,8 @@ from millrace.llm._text import SPACE, Words
 
 #: Words of half a passage, which is a piece's length; items of a block; probing vectors beyond the pieces', and in all;
 #: the share of all words from which on a term has no weight; the pieces' weight among the passages.
-HALF, ITEMS, EXTRA, PROBES, STOP, WEIGHT = 32, 4_096, 32, 320, 1 / 4_000, 1e3
-COSINE, COPY, PARAPHRASE = 0.35, 0.8, 0.55
+HALF, ITEMS, EXTRA, PROBES, STOP, WEIGHT = 32, 4_096, 32, 224, 1 / 4_000, 1e3
+COSINE, COPY, PARAPHRASE = 0.33, 0.8, 0.55
 #: The answer is an item's last words: such a share, three at least; so much of it must be found.
 ANSWER, ANSWERED = 0.2, 0.6
 #: Signs and white space are between words, so that a paraphrase's punctuation doesn't matter.
@@ -50,7 +50,7 @@ class Benchmark:
         self.pieces: list[tuple[int, np.ndarray]] = []
         for k, item in enumerate(self.items):
             last = max(0, len(item) - HALF)
-            self.pieces += [(k, item[a : a + HALF]) for a in sorted({*range(0, last, HALF // 2), last}) if len(item)]
+            self.pieces += [(k, item[a : a + HALF]) for a in sorted({*range(0, last, HALF), last}) if len(item)]
 
     def vectors(self, weight: np.ndarray) -> np.ndarray:
         """A row of unit length for each piece; of zeros if none of its terms has a weight."""
@@ -88,7 +88,7 @@ def _sums(half: np.ndarray, term: np.ndarray, table: np.ndarray, n: int) -> np.n
     return out
 
 
-def _blocks(blob: bytes, weight: np.ndarray, most: int = 30_000) -> Iterator[tuple]:
+def _blocks(blob: bytes, weight: np.ndarray, most: int = 120_000) -> Iterator[tuple]:
     """Runs of texts of a row: (ids, counts, places, terms), and the weighted places alone."""
     ids, counts, at, term = unpacked(blob)
     first = np.concatenate([[0], np.cumsum(counts)])
@@ -227,12 +227,14 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
     table = table.where("blob is not null").select("blob")
     basis = _basis(table, bench, weight)
     pieces = bench.vectors(weight) @ basis
-    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), pieces.astype(np.float32)))
+    scale = np.maximum(np.linalg.norm(pieces, axis=1), 1e-9)
+    # what a term adds at most to any cosine, before it is divided by the passage's length
+    most = (np.abs(basis @ (pieces / scale[:, None]).T).max(axis=1, initial=0) * weight).astype(np.float32)
+    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), (pieces / scale[:, None]).astype(np.float32), most))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, weighted, pieces_ = shared.value
+        own, w, weighted, pieces_, bound = shared.value
         item_of = np.array([k for k, _ in own.pieces])
-        scale = np.maximum(np.linalg.norm(pieces_, axis=1), 1e-9)
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
             rows: dict[tuple[int, int], tuple] = {}
             for ids, counts_, at, term in _blocks(blob, w):
@@ -241,18 +243,21 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
                 h, t = half[used], term[used]
                 if not len(h):
                     continue
-                y = _sums(h, t, weighted, len(of))
                 # a passage's length counts each term's weights together, in its whole vector and not in the projection
                 pair = np.append(of[1:] == of[:-1], False)
-                vector = y + np.where(pair[:, None], np.roll(y, -1, axis=0), 0)
-                keys = np.concatenate([h, h[pair[h - 1] & (h > 0)] - 1]) * len(w) + np.concatenate([t, t[pair[h - 1] & (h > 0)]])
-                key, times = np.unique(keys, return_counts=True)
-                length = np.sqrt(np.bincount(key // len(w), (times * w[key % len(w)]) ** 2, len(of)))
-                some = np.flatnonzero(length > 0)
+                second = pair[h - 1] & (h > 0)
+                key, times = np.unique(np.concatenate([h, h[second] - 1]) * len(w) + np.concatenate([t, t[second]]), return_counts=True)
+                place, kind = key // len(w), key % len(w)
+                length = np.sqrt(np.bincount(place, (times * w[kind]) ** 2, len(of)))
+                some = np.flatnonzero((length > 0) & (np.bincount(place, times * bound[kind], len(of)) >= COSINE * length))
+                wanted = np.zeros(len(of) + 1, bool)
+                wanted[some] = wanted[some + 1] = True
+                y = _sums(h[wanted[h]], t[wanted[h]], weighted, len(of) + 1)
                 first = np.concatenate([[0], np.cumsum(counts_)])
                 for a in range(0, len(some), 8192):
                     mine = some[a : a + 8192]
-                    cosine = (vector[mine] @ pieces_.T) / (length[mine, None] * scale[None, :])
+                    vector = y[mine] + np.where(pair[mine, None], y[mine + 1], 0)
+                    cosine = (vector @ pieces_.T) / length[mine, None]
                     for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
                         p, k = mine[i], item_of[j]
                         text, item = of[p], own.items[k]
