@@ -120,3 +120,10 @@ def fold(df: DataFrame, init: Callable, step: Callable, finish: Callable = lambd
 def cogrouped(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """A reduce-side join of two sets of records, as the user-level composition that it is: (key, left, right)."""
     return left.select("key", F.col("value").alias("left")).join(right.select("key", F.col("value").alias("right")), "key", how)
+
+
+def combined_records(df: DataFrame, mapper: type | Callable, schema: str = "key string, value string") -> DataFrame:
+    """A mapper as combiner: a record at a time over each partition's records in key order, before any exchange."""
+    from millrace.operators.mapping import record_map
+
+    return record_map(df.sortWithinPartitions("key"), mapper, schema)

@@ -39,3 +39,15 @@ def test_random_records(spark, kind):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError, match="unknown kind"):
         g.random_records(spark, 1, "x")
+
+
+def test_data_source(spark, tmp_path):
+    from millrace.sources.datasource import TeraSource
+
+    spark.dataSource.register(TeraSource)
+    df = spark.read.format("tera").option("rows", 25_001).option("splits", 4).load()
+    assert df.rdd.getNumPartitions() == 4
+    assert df.exceptAll(g.teragen(spark, 25_001).select("key", "value")).count() == 0 and df.count() == 25_001
+    df.write.format("tera").mode("append").save(str(tmp_path / "out"))
+    written = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").iterdir()))
+    assert written.count(b"\r\n") == 25_001 and len(written) == 25_001 * 100

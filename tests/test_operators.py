@@ -146,3 +146,22 @@ def test_counters(spark):
 def test_cogroup(spark):
     a, b = (spark.createDataFrame(x, "key int, value string") for x in ([(1, "x"), (2, "y")], [(1, "z")]))
     assert [(r.key, r.left, r.right) for r in reducing.cogrouped(a, b, "left").orderBy("key").collect()] == [(1, "x", "z"), (2, "y", None)]
+
+
+def test_mapper_as_combiner(spark):
+    class Runs:
+        def setup(self):
+            self.key, self.n = None, 0
+
+        def map(self, key, value):
+            if key != self.key:
+                yield from self.close()
+                self.key, self.n = key, 0
+            self.n += 1
+
+        def close(self):
+            if self.n:
+                yield self.key, str(self.n)
+
+    df = spark.createDataFrame([(k, "") for k in "abacab"], "key string, value string").coalesce(1)
+    assert [(r.key, r.value) for r in reducing.combined_records(df, Runs).collect()] == [("a", "3"), ("b", "2"), ("c", "1")]
