@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows up to which the small side of a join is broadcast (rows of a few dozen bytes); beyond it, a shuffle join.
-BROADCAST_ROWS = 1_500_000
+BROADCAST_ROWS = 100_000
 
 
 _OWN: dict[str, str] = {}
@@ -38,9 +38,18 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
+    read.written_to = path
     return read
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove written tables that nothing still to be run reads: what was made from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -121,14 +130,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = written(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), f"{name}-0")
-    turn = 0
+    turn, last = 0, labels
     while True:
         turn += 1
         near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("label"))
-        step = written(step, f"{name}-{turn}a")
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        step = written(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("component")), f"{name}-{turn}b")
+        half = written(step, f"{name}-{turn}a")
+        up = half.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        step = written(half.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("component")), f"{name}-{turn}b")
+        dropped(half, last)
         if not step.where("old <> component").limit(1).count():
+            dropped(pairs)
             return step.select("node", "component")
-        labels = step.select("node", "component")
+        labels, last = step.select("node", "component"), step

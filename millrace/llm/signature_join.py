@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import components, raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import components, dropped, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Words of a shingle; two sets link if 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
 #: A shingle is counted as frequent from so many nodes of a task on; of those, so many are put last.
-FREQUENT, MOST_FREQUENT = 8, 1 << 16
+FREQUENT, MOST_FREQUENT = 5, 1 << 16
 #: Members of a leaf, about, and bits of a tree's bitmaps.
 LEAF, TREE_BITS = 256, 1024
 
@@ -85,7 +85,7 @@ class _Seen:
         self.names: set[bytes] = set()
 
     def first(self, name: bytes) -> bool:
-        if len(self.names) > 200_000:
+        if len(self.names) > 50_000:
             self.names.clear()
         known = name in self.names
         self.names.add(name)
@@ -116,7 +116,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
             new = [s for s, name in zip(sets, names, strict=True) if seen.first(name)]
             gathered += new
             held += sum(map(len, new))
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield frequent()
                 gathered, held = [], 0
         yield frequent()
@@ -305,10 +305,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     member = written(rows.select("doc_id", "n", "name").join(known, "name", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "join-members")
     nodes = written(small_join(rows.where("n > 0"), member.where("node = doc_id and n > 0").select("doc_id").distinct(), ["doc_id"]).select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "join-nodes")
 
-    entries = written(_entries(docs, frequent, rank, size, percent), "join-entries")
-    entries = small_join(entries, member.where("n > 0").select("doc_id", "node").distinct(), ["doc_id"]).select("shingle", "node", "n", "at")
+    dropped(profiles)
+    every = written(_entries(docs, frequent, rank, size, percent), "join-entries")
+    copies = written(member.where("n > 0 and node <> doc_id").select("doc_id", "node").distinct(), "join-copies")
+    entries = small_join(every, copies, ["doc_id"], "left").select("shingle", F.coalesce("node", "doc_id").alias("node"), "n", "at")
     shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub.node < last").select("shingle", "hub", "size"), "join-shared")
     blocks = written(small_join(entries, shared, ["shingle"]).where("node <> hub.node").select("shingle", "node", "n", "at", "hub", "size"), "join-blocks")
+    dropped(every, shared)
 
     # if this is the first shingle that both hold, they share none before their places
     fits = f"{100 + percent} * least(n - at, hub.n - hub.at) >= {percent} * (n + hub.n)"

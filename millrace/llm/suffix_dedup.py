@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import free_name, raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import dropped, free_name, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, prefix_sums, runs, span_hash
 
 #: Words of a window, places among which a minimiser is chosen, and words whose hash is compared.
@@ -116,10 +116,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     suffixes = written(_suffixes(docs, window, places), "passages-suffixes")
     equal = written(suffixes.groupBy("head").count().where("count > 1").select("head"), "passages-equal")
-    kept = written(small_join(suffixes, equal, ["head"]), "passages-kept")
-    run = kept.groupBy("head").agg(F.min(F.struct("doc_id", "place")).alias("first"), (F.min("stretch") == F.max("stretch")).alias("whole"))
-    kept = written(small_join(kept, written(run, "passages-runs"), ["head"]).select("doc_id", "place", "whole", (F.struct("doc_id", "place") != F.col("first")).alias("later")), "passages-extended")
+    held = written(small_join(suffixes, equal, ["head"]), "passages-kept")
+    dropped(suffixes, equal)
+    run = held.groupBy("head").agg(F.min(F.struct("doc_id", "place")).alias("first"), (F.min("stretch") == F.max("stretch")).alias("whole"))
+    kept = written(small_join(held, written(run, "passages-runs"), ["head"]).select("doc_id", "place", "whole", (F.struct("doc_id", "place") != F.col("first")).alias("later")), "passages-extended")
 
+    dropped(held)
     low = F.floor(F.col("place") / 4096).cast("int") - (F.floor(F.col("place") / 64) % 64).cast("int")
     stretches = kept.where("whole").select("doc_id", low.alias("start"), (low + (F.col("place") % 64).cast("int") + window).alias("end"), "later")
     ends = kept.where("not whole")
