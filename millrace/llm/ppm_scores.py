@@ -28,8 +28,8 @@ from millrace.llm._shared import packed, raw_texts, slices, small_batches, unpac
 from millrace.llm._text import Words, mixed
 
 _U = np.uint64
-#: Bytes of the longest context; bytes of a chunk and, for choosing the number of parts, of input a part.
-ORDER, CHUNK_BYTES, PART_BYTES = 5, 1 << 24, 1 << 25
+#: Bytes of the longest context; bytes of a chunk, of what is worked on at once, and, for choosing the number of parts, of input a part.
+ORDER, CHUNK_BYTES, BLOCK_BYTES, PART_BYTES = 5, 1 << 24, 1 << 20, 1 << 25
 #: What stands for the end of a text among the hashes of words.
 END = _U(0x0E0D0E0D0E0D0E0D)
 
@@ -138,7 +138,7 @@ def _chunks(docs: DataFrame, parts: int, order: int) -> DataFrame:
                     rows.append((kind, name, int(p), packed(np.diff(value[places], prepend=_U(0)), count[places].astype(np.uint32))))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)][:2] + [pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.binary())], names=["kind", "chunk", "part", "blob"])
 
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=BLOCK_BYTES)):
             words = Words(raw_texts(batch))
             norm, begin = normal(words)
             train = np.array(batch.column("train").to_pylist(), bool)
@@ -233,7 +233,7 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
             ids, lost, norm = unpacked(blob)
             blocks = []
             ends = np.flatnonzero(norm == 10) + 1
-            cuts = np.flatnonzero(np.diff(ends // (1 << 21))) + 1
+            cuts = np.flatnonzero(np.diff(ends // BLOCK_BYTES)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(ends)], strict=True):
                 own = norm[ends[a - 1] if a else 0 : ends[b - 1]]
                 words = Words(own.tobytes().split(b"\n")[:-1], lower=False)
