@@ -66,8 +66,8 @@ def string_hash(col: Column) -> Column:
 
 
 def partition_by_hash(col: Column, n: int) -> Column:
-    """The partition, of n, that the default hash deals a key to."""
-    return F.lit(0) if n == 1 else (string_hash(col).bitwiseAND(2147483647) % n).cast("int")
+    """The partition, of n, that the default hash deals a key to; a null key goes to the first."""
+    return F.lit(0) if n == 1 else F.coalesce((string_hash(col).bitwiseAND(2147483647) % n).cast("int"), F.lit(0))
 
 
 def unsigned_order(col: Column) -> list[Column]:

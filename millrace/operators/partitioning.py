@@ -20,8 +20,8 @@ def by_hash(df: DataFrame, n: int, key: str = "key", compatible: bool = False) -
 
 
 def explicit(df: DataFrame, n: int, partition: Column) -> DataFrame:
-    """Each row to the partition whose number a column gives."""
-    return df.withColumn("__p", partition.cast("int")).repartitionById(n, F.col("__p")).drop("__p")
+    """Each row to the partition whose number a column gives; null is the first."""
+    return df.withColumn("__p", F.coalesce(partition.cast("int"), F.lit(0))).repartitionById(n, F.col("__p")).drop("__p")
 
 
 def total_order(key: Column, cuts: list) -> Column:

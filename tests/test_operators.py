@@ -61,6 +61,9 @@ def test_cut_points(spark):
 def test_explicit_partitions(spark):
     got = partitioning.explicit(spark.range(100), 3, F.col("id") % 3).select("id", F.spark_partition_id().alias("p")).collect()
     assert all(r.p == r.id % 3 for r in got)
+    nulls = spark.createDataFrame([(None,), ("a",)], "key string")
+    assert partitioning.by_hash(nulls, 5, compatible=True).count() == 2
+    assert nulls.where("key is null").select(partitioning.total_order(F.col("key"), ["b"]).alias("p")).first().p == 0
 
 
 def test_mappers(spark):
