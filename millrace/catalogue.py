@@ -5,7 +5,7 @@ Each query goes through the operators; order is shown as data (ranks, partition
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from millrace.functions import text as fn
 from millrace.operators import counters, mapping, ordering, partitioning, pipes, reducing
 from millrace.plans import terasort as tera
 from millrace.plans.job import Job
+from millrace.session import shared_folder
 from millrace.sources import generators, readers, writers
 
 QUERIES: dict = {}
@@ -133,9 +134,8 @@ def text_int_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_name as key, c_mktsegment as value from customer")
 def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as compressed text by a map-only job, and read back as key/value lines."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    target = f"{folder}/round-trip-{abs(hash(sf_dir)) % 10**9}"
-    writers.write_kv(_kv(spark, sf_dir, "customer", "c_name", "c_mktsegment"), target, compression="gzip", mode="overwrite")
+    target = f"{shared_folder(spark)}/millrace/round-trip-{uuid.uuid4().hex}"
+    writers.write_kv(_kv(spark, sf_dir, "customer", "c_name", "c_mktsegment"), target, compression="gzip")
     return readers.key_value_lines(spark, target)
 
 
