@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import latent_leaks, piece_codec, pivot_index, ppm_scores, quality_nbsvm, signature_join, suffix_dedup, token_counts, toxicity_pu, warc_bundles
-from millrace.llm._shared import shared_dir
+from millrace.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/millrace/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/millrace/warc-{uuid.uuid4().hex}"
     warc_bundles.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc_bundles.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
