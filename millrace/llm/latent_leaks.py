@@ -13,7 +13,8 @@ the words' counts in all documents; terms that make up more than a four-thousand
 4. A candidate's neighbourhood is read for the longest common subsequence with the item. 0.8 of the item's words, in order,
    are a copy; 0.55 are a paraphrase if most of the item's answer, its last words, is among them.
 
-Items are taken in blocks, so what is broadcast, and the basis, are bounded however large the benchmark is.
+Items are taken in blocks, so what is broadcast, and the basis, are bounded however large the benchmark is; the documents
+are read once for each block.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import packed, raw_texts, slices, small_batches, unpacked, written
 from millrace.llm._text import SPACE, Words
 
-#: Words of half a passage, which is a piece's length; items of a block; probing vectors beyond the pieces', and in all;
+#: Words of half a passage, which is a piece's length; items of a block, about, and bytes of
+#: their texts; probing vectors beyond the pieces', and in all;
 #: the share of all words from which on a term has no weight; the pieces' weight among the passages.
-HALF, ITEMS, EXTRA, PROBES, STOP, WEIGHT = 32, 4_096, 32, 224, 1 / 4_000, 1e3
+HALF, ITEMS, ITEM_BYTES, EXTRA, PROBES, STOP, WEIGHT = 32, 512, 1 << 17, 32, 224, 1 / 4_000, 1e3
 COSINE, COPY, PARAPHRASE = 0.33, 0.8, 0.55
 #: The answer is an item's last words: such a share, three at least; so much of it must be found.
 ANSWER, ANSWERED = 0.2, 0.6
@@ -288,7 +290,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = written(items.dropDuplicates(["item_id", "text"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-items.count() // ITEMS))))), "leaks-items")
+    count, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-count // ITEMS), -(-(size or 0) // ITEM_BYTES))
+    items = written(items.dropDuplicates(["item_id", "text"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "leaks-items")
     out = None
     for (block,) in items.select("block").distinct().orderBy("block").collect():
         found = _of_block(docs, items.where(F.col("block") == block).orderBy("item_id", "text").collect())
