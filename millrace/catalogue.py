@@ -331,7 +331,20 @@ def split_join_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the sort benchmark and external commands
 
 
-@query()
+def _tera_sql(bits: int = 40) -> str:
+    """The generated rows in SQL: the state before each row by the bits of its number of steps."""
+    a, c, steps = generators.MULTIPLIER, generators.INCREMENT, ["s0 as (select unnest(range(0, (select count(*) from orders)))::hugeint as r, 0::hugeint as s)"]
+    for k in range(bits):
+        steps.append(f"s{k + 1} as (select r, case when ((r * {generators.STEPS}) >> {k}) & 1 = 1 then (s * {a} + {c}) & 4294967295 else s end as s from s{k})")
+        a, c = a * a % (1 << 32), (a + 1) * c % (1 << 32)
+    for k, (old, new) in enumerate((("s", "x"), ("x", "y"), ("y", "z"))):
+        steps.append(f"t{k} as (select *, ({old} * {generators.MULTIPLIER} + {generators.INCREMENT}) & 4294967295 as {new} from {f't{k - 1}' if k else f's{bits}'})")
+    chars = [f"chr((32 + ({v} // 52 // {95**k}) % 95)::int)" for v in "xyz" for k in (3, 2, 1, 0)][:10]
+    filler = [f"repeat(chr((65 + (r * 8 + {k}) % 26)::int), {10 if k < 7 else 8})" for k in range(8)]
+    return f"with {', '.join(steps)} select r::bigint as row, hex({' || '.join(chars)}) as key, lpad(r::varchar, 10, ' ') || {' || '.join(filler)} as value from t2"
+
+
+@query(_tera_sql())
 def teragen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many rows as orders has."""
     rows = _table(spark, sf_dir, "orders").count()
