@@ -75,3 +75,12 @@ def by_range(df: DataFrame, n: int, key: str = "key", cuts: list | None = None)
 def truncated(df: DataFrame, size: int, key: str = "key") -> DataFrame:
     """Records under the first characters of their keys."""
     return df.withColumn(key, F.substring(key, 1, size))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that its files would occupy less than half of them; large inputs stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size // max(1, split) + 1 <= cores // 2 else df

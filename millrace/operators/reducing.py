@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.mapping import Pair, _batched, arrow_schema
+from millrace.operators.partitioning import spread
 
 WRAP = 1 << 32
 
@@ -73,7 +74,7 @@ def reduced(df: DataFrame, reducer: type | Callable, schema: str = "key string,
 
 def combined(df: DataFrame, combiner: type | Callable, schema: str = "key string, value string") -> DataFrame:
     """A user's combiner over each partition's records in key order, before any exchange; it must be associative."""
-    return _over_groups(df.sortWithinPartitions("key"), combiner, schema)
+    return _over_groups(spread(df).sortWithinPartitions("key"), combiner, schema)
 
 
 def passive(df: DataFrame, mapper: type | Callable, schema: str = "key string, value string", partitions: int | None = None) -> DataFrame:

@@ -107,6 +107,8 @@ class Job:
         else:
             raise ValueError("a job needs input")
         df = self.counters.watch(df, "map input")
+        if self.plugs.get("mapper") is not None and self.options.partitions != 0:
+            df = partitioning.spread(df)  # a mapper may be much work on few bytes
         df = self._found("mapper")(df)
         if self.options.partitions == 0:
             return df

@@ -168,3 +168,16 @@ def test_mapper_as_combiner(spark):
 
     df = spark.createDataFrame([(k, "") for k in "abacab"], "key string, value string").coalesce(1)
     assert [(r.key, r.value) for r in reducing.combined_records(df, Runs).collect()] == [("a", "3"), ("b", "2"), ("c", "1")]
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "x"))
+    small = partitioning.spread(spark.read.parquet(str(tmp_path / "x")))
+    assert small.rdd.getNumPartitions() == 4 and small.count() == 100
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        many = spark.read.parquet(str(tmp_path / "x"))
+        assert partitioning.spread(many) is many
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
