@@ -26,7 +26,7 @@ from millrace.llm._text import NO_LETTER, Words, mixed
 #: Buckets of features; texts of either kind that are learnt from (the smallest hashes of doc_id); letters of the word
 #: starts; toxic texts that must hold a feature (so many, and such a share of them), how much likelier it must be in toxic
 #: texts than in others, and by how many standard deviations.
-BUCKETS, SAMPLE, STARTS, LEAST_TEXTS, LEAST_SHARE, LIKELIER, SURE = 1 << 20, 8_000, (4, 5, 6), 6, 0.006, 2.5, 5.0
+BUCKETS, SAMPLE, STARTS, LEAST_TEXTS, LEAST_SHARE, LIKELIER, SURE = 1 << 20, 8_000, (4, 5, 6, 7, 8), 6, 0.006, 2.5, 5.0
 STEPS, BATCH, RATE, SHRINK = 1_500, 8_192, 0.05, 3e-4
 
 
