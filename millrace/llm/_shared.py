@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)  # what a writing task buffers
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.written_to = path
@@ -82,7 +82,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch with about `most` bytes of text, at least a row each: bounds what is held at once."""
     sizes = batch.column(column).cast(pa.binary()) if batch.num_rows else None
     if sizes is None:
