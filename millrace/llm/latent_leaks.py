@@ -2,7 +2,8 @@
 
 Terms are the benchmark's words. A document's passages are 64 words long, a new one every 32; a benchmark item's pieces
 are 32 words long, one after another and one at its end, so a passage holds any piece that stands in the document whole. Vectors are TF-IDF, with
-the words' counts in all documents; terms that make up more than a four-thousandth of all words have no weight.
+the words' counts in all documents; terms that make up more than a four-thousandth of all words have no weight, but where
+they are among the rarer half of a piece's: copies of a leak make its words common, and must not blank it.
 
 1. Documents are read once: what is kept of them is where terms stand. Other words match nothing.
 2. The right singular vectors of the passages' matrix, in which the pieces have rows of a large weight, come from a
@@ -54,8 +55,16 @@ class Benchmark:
             last = max(0, len(item) - HALF)
             self.pieces += [(k, item[a : a + HALF]) for a in sorted({*range(0, last, HALF), last}) if len(item)]
 
+    def weights(self, counts: np.ndarray, total: int) -> np.ndarray:
+        """Of each term, from its count among `total` words: none if it is common, but the rarer half of each piece's terms has one."""
+        common = counts > max(STOP * total, 50)
+        for _, piece in self.pieces:
+            own = np.unique(piece)
+            common[own[np.argsort(counts[own], kind="stable")[: -(-len(own) // 2)]]] = False
+        return np.where(common, 0, np.log1p(total / (counts + 1)))
+
     def vectors(self, weight: np.ndarray) -> np.ndarray:
-        """A row of unit length for each piece; of zeros if none of its terms has a weight."""
+        """A row of unit length for each piece."""
         out = np.zeros((len(self.pieces), len(self.terms)), np.float32)
         for row, (_, piece) in zip(out, self.pieces, strict=True):
             np.add.at(row, piece, weight[piece])
@@ -224,8 +233,7 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
             total = max(1, r.n)
         else:
             counts[r.term] = r.n
-    weight = np.log((total + 1) / (counts + 1))
-    weight[counts > max(STOP * total, 50)] = 0
+    weight = bench.weights(counts, total)
     table = table.where("blob is not null").select("blob")
     basis = _basis(table, bench, weight)
     pieces = bench.vectors(weight) @ basis
@@ -284,7 +292,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A-Z are lower-cased; words are what ASCII signs and white space leave. share: of the item's words in order;
     answered: whether most of the item's last words are among them; the words from start_word to end_word hold them.
     Documents and items with null ids take no part; null and empty texts, and items without words, match
-    nothing, nor do items of which all words are among the commonest; items with the same text are found alike, repeated rows of a
+    nothing; items with the same text are found alike, repeated rows of a
     document once each. Texts of any length are read whole; empty tables give no rows; other columns play no part.
     """
     small_batches(docs.sparkSession)

@@ -64,6 +64,25 @@ def test_planted_leaks(spark, docs_of, planted, monkeypatch, block):
     assert len(want - got) <= 1 and not got - want
 
 
+def test_leaks_held_often(spark, docs_of, rnd):
+    """A third of the rows hold one item, a few the others, one of them of common words alone."""
+    items = [*items_of(rnd, 12), " ".join(f"c{rnd.randrange(5)}" for _ in range(24))]
+    docs, want = [], set()
+    for k in range(900):
+        own = [f"z{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 200))]
+        i = 0 if k % 3 == 0 else 1 + k // 3 % 12 if k % 30 == 1 else None
+        if i is not None:
+            w = items[i].split()
+            if k % 2 and i < 12:
+                w = [f"z{rnd.randrange(5000)}" if rnd.random() < 0.08 else x for x in w]
+            at = rnd.randrange(len(own) + 1)
+            own[at:at] = w
+            want.add((k, i))
+        docs.append(" ".join(own))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs), bench).collect()} == want
+
+
 def test_no_tables(spark, docs_of, nothing, planted):
     bench = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, planted[0][0])], "item_id long, text string")
