@@ -7,10 +7,12 @@ they are among the rarer half of a piece's: copies of a leak make its words comm
 
 1. Documents are read once: what is kept of them is where terms stand. Other words match nothing.
 2. The right singular vectors of the passages' matrix, in which the pieces have rows of a large weight, come from a
-   randomised range: one pass over all passages multiplies the matrix's square with probing vectors, the pieces (or fewer
-   random sums of them) and 32 random ones, 224 at most, and a Nystroem step on the driver, of the size of terms times probes, gives the basis.
-3. Passages whose projection has a cosine of 0.33 or more with a piece's are candidates for its item. All passages are held
-   against all pieces, by blocks.
+   randomised range: one pass over all passages multiplies the matrix's square with probing vectors, all pieces of the
+   block and 32 random ones, and a Nystroem step on the driver, of the size of terms times probes, gives the basis. The
+   rank follows the pieces, so that the basis keeps their whole length and a cosine means the same for any benchmark.
+3. Passages whose projection has a cosine of 0.33 or more with a piece's are candidates for its item, and so are those that
+   hold 0.55 of the piece's squared length, however long their other terms make them: a piece that stands whole in a
+   passage is always found. All passages are held against all pieces, by blocks.
 4. A candidate's neighbourhood is read for the longest common subsequence with the item. 0.8 of the item's words, in order,
    are a copy; 0.55 are a paraphrase if most of the item's answer, its last words, is among them.
 
@@ -32,10 +34,10 @@ from millrace.llm._shared import packed, raw_texts, slices, small_batches, unpac
 from millrace.llm._text import SPACE, Words
 
 #: Words of half a passage, which is a piece's length; items of a block, about, and bytes of
-#: their texts; probing vectors beyond the pieces', and in all;
+#: their texts; probing vectors beyond the pieces';
 #: the share of all words from which on a term has no weight; the pieces' weight among the passages.
-HALF, ITEMS, ITEM_BYTES, EXTRA, PROBES, STOP, WEIGHT = 32, 512, 1 << 17, 32, 224, 1 / 4_000, 1e3
-COSINE, COPY, PARAPHRASE = 0.33, 0.8, 0.55
+HALF, ITEMS, ITEM_BYTES, EXTRA, STOP, WEIGHT = 32, 512, 1 << 17, 32, 1 / 4_000, 1e3
+COSINE, HELD, COPY, PARAPHRASE = 0.33, 0.55, 0.8, 0.55
 #: The answer is an item's last words: such a share, three at least; so much of it must be found.
 ANSWER, ANSWERED = 0.2, 0.6
 #: Signs and white space are between words, so that a paraphrase's punctuation doesn't matter.
@@ -90,17 +92,25 @@ def _halves(counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return half, of, np.arange(begin[-1]) - begin[of]
 
 
+def _run_sums(key: np.ndarray, row: np.ndarray, table: np.ndarray, runs: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and, for each run of equal ones, the sum of the table's rows; some runs at once, whose rows stay in the cache."""
+    new = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+    for a in range(0, len(new) - 1, runs):
+        cut = new[a : a + runs + 1]
+        yield key[cut[:-1]], np.add.reduceat(table[row[cut[0] : cut[-1]]], cut[:-1] - cut[0], axis=0)
+
+
 def _sums(half: np.ndarray, term: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
     """For each half passage, the sum of its terms' rows of the table."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    if len(half):
-        new = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        out[half[new]] = np.add.reduceat(table[term], new, axis=0)
+    for key, sums in _run_sums(half, term, table):
+        out[key] = sums
     return out
 
 
-def _blocks(blob: bytes, weight: np.ndarray, most: int = 120_000) -> Iterator[tuple]:
-    """Runs of texts of a row: (ids, counts, places, terms), and the weighted places alone."""
+def _blocks(blob: bytes, columns: int) -> Iterator[tuple]:
+    """Runs of texts of a row: (ids, counts, places, terms), the shorter the more columns of sums are held for them."""
+    most = max(1, (1 << 24) // columns)
     ids, counts, at, term = unpacked(blob)
     first = np.concatenate([[0], np.cumsum(counts)])
     held = np.concatenate([[0], np.searchsorted(at, first[1:])])
@@ -159,8 +169,7 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
     """The right singular vectors of the weighted passages of `table` and the pieces."""
     pieces = bench.vectors(weight).astype(np.float64)
     rng = np.random.default_rng(seed)
-    own = pieces if len(pieces) <= PROBES - EXTRA else rng.standard_normal((PROBES - EXTRA, len(pieces))) @ pieces
-    probes = np.concatenate([own, rng.standard_normal((EXTRA, len(weight)))]).T
+    probes = np.concatenate([pieces, rng.standard_normal((EXTRA, len(weight)))]).T
     shared = table.sparkSession.sparkContext.broadcast((weight.astype(np.float32), probes.astype(np.float32)))
     rows = 64
 
@@ -168,7 +177,7 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
         w, probe = shared.value
         total, weighted = np.zeros(probe.shape), probe * w[:, None]
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
-            for _, counts, at, term in _blocks(blob, w):
+            for _, counts, at, term in _blocks(blob, probe.shape[1]):
                 half, of, _ = _halves(counts, at)
                 used = w[term] > 0
                 half, term = half[used], term[used]
@@ -184,8 +193,8 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
                 both[pair] += sums
                 both[pair + 1] += sums
                 order = np.argsort(term, kind="stable")
-                new = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-                total[term[order][new]] += np.add.reduceat(both[half[order]], new, axis=0) * w[term[order][new], None]
+                for key, sums in _run_sums(term[order], half[order], both):
+                    total[key] += sums * w[key, None]
         salt = TaskContext.get().partitionId() % 32
         n = -(-len(total) // rows)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, salt)), pa.array([total[k * rows : (k + 1) * rows].tobytes() for k in range(n)], pa.binary())], names=["rows", "salt", "sums"])
@@ -238,16 +247,19 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
     basis = _basis(table, bench, weight)
     pieces = bench.vectors(weight) @ basis
     scale = np.maximum(np.linalg.norm(pieces, axis=1), 1e-9)
-    # what a term adds at most to any cosine, before it is divided by the passage's length
-    most = (np.abs(basis @ (pieces / scale[:, None]).T).max(axis=1, initial=0) * weight).astype(np.float32)
-    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), (pieces / scale[:, None]).astype(np.float32), most))
+    size = np.array([np.linalg.norm(np.bincount(p) * weight[: p.max() + 1]) for _, p in bench.pieces]).astype(np.float32)
+    # what a term adds at most to any cosine, before it is divided by the passage's length; and to any piece's held share
+    # (a passage's projection times a piece's is the sum of its terms' rows of this, one number for each piece)
+    adds = (basis @ (pieces / scale[:, None]).T * weight[:, None]).astype(np.float32)
+    most = np.abs(adds).max(axis=1, initial=0), np.abs(adds / size).max(axis=1, initial=0)
+    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), adds, size, most))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, weighted, pieces_, bound = shared.value
+        own, w, adds_, size_, (bound, share_bound) = shared.value
         item_of = np.array([k for k, _ in own.pieces])
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
             rows: dict[tuple[int, int], tuple] = {}
-            for ids, counts_, at, term in _blocks(blob, w):
+            for ids, counts_, at, term in _blocks(blob, adds_.shape[1]):
                 half, of, number = _halves(counts_, at)
                 used = w[term] > 0
                 h, t = half[used], term[used]
@@ -259,16 +271,17 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
                 key, times = np.unique(np.concatenate([h, h[second] - 1]) * len(w) + np.concatenate([t, t[second]]), return_counts=True)
                 place, kind = key // len(w), key % len(w)
                 length = np.sqrt(np.bincount(place, (times * w[kind]) ** 2, len(of)))
-                some = np.flatnonzero((length > 0) & (np.bincount(place, times * bound[kind], len(of)) >= COSINE * length))
+                near = np.bincount(place, times * bound[kind], len(of)) >= COSINE * length
+                some = np.flatnonzero((length > 0) & (near | (np.bincount(place, times * share_bound[kind], len(of)) >= HELD)))
                 wanted = np.zeros(len(of) + 1, bool)
                 wanted[some] = wanted[some + 1] = True
-                y = _sums(h[wanted[h]], t[wanted[h]], weighted, len(of) + 1)
+                y = _sums(h[wanted[h]], t[wanted[h]], adds_, len(of) + 1)
                 first = np.concatenate([[0], np.cumsum(counts_)])
-                for a in range(0, len(some), 8192):
-                    mine = some[a : a + 8192]
-                    vector = y[mine] + np.where(pair[mine, None], y[mine + 1], 0)
-                    cosine = (vector @ pieces_.T) / length[mine, None]
-                    for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                for a in range(0, len(some), 1024):
+                    mine = some[a : a + 1024]
+                    along = y[mine]
+                    along[pair[mine]] += y[mine[pair[mine]] + 1]
+                    for i, j in zip(*np.nonzero(along >= np.minimum(COSINE * length[mine, None].astype(np.float32), HELD * size_)), strict=True):
                         p, k = mine[i], item_of[j]
                         text, item = of[p], own.items[k]
                         low = max(0, number[p] * HALF - len(item))
@@ -278,8 +291,9 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
                             continue
                         x, z = np.searchsorted(at, (first[text] + low, first[text] + high))
                         share, answered, leak = judged(item, term[x:z])
-                        if leak and (known is None or (share, float(cosine[i, j])) > (known[0], known[2])):
-                            rows[int(ids[text]), int(k)] = (share, answered, float(cosine[i, j]), low, high)
+                        cosine = float(along[i, j] / length[p])
+                        if leak and (known is None or (share, cosine) > (known[0], known[2])):
+                            rows[int(ids[text]), int(k)] = (share, answered, cosine, low, high)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([int(own.ids[k]) for _, k in rows], pa.int64()), *(pa.array([r[c] for r in rows.values()], kind) for c, kind in enumerate((pa.float64(), pa.bool_(), pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "share", "answered", "cosine", "start_word", "end_word"])
 

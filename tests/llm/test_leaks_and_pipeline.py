@@ -83,6 +83,30 @@ def test_leaks_held_often(spark, docs_of, rnd):
     assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs), bench).collect()} == want
 
 
+def test_many_items(spark, docs_of, rnd, monkeypatch):
+    """A block of over 400 pieces is searched as well as one of few: the basis keeps each piece's length."""
+    monkeypatch.setattr(leaks, "STOP", 1 / 100)
+    items = [" ".join(f"q{rnd.randrange(4000)}" for _ in range(rnd.randrange(15, 60))) for _ in range(300)]
+    docs = []
+    for text in items:
+        own = [f"q{rnd.randrange(4000)}" for _ in range(rnd.randrange(60, 200))]
+        at = rnd.randrange(len(own) + 1)
+        own[at:at] = text.split()
+        docs.append(" ".join(own))
+    kept, of = [], leaks._basis
+
+    def basis(table, bench, weight):
+        out = of(table, bench, weight)
+        kept.append(np.linalg.norm(bench.vectors(weight) @ out, axis=1))
+        return out
+
+    monkeypatch.setattr(leaks, "_basis", basis)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs), bench).collect()}
+    assert len(kept) == 1 and len(kept[0]) > 400 and kept[0].min() > 0.99
+    assert got == {(k, k) for k in range(300)}
+
+
 def test_no_tables(spark, docs_of, nothing, planted):
     bench = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, planted[0][0])], "item_id long, text string")
