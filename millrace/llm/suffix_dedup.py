@@ -1,14 +1,17 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by fingerprints of sparse suffixes.
 
 A passage is repeated if its 50 words, or any 50 successive words of it, stand in the corpus twice. Of all suffixes, those
 at minimisers are kept: of 26 successive places, the one whose next five words have the least hash (the first of equals).
 The choice depends on content alone, and each window of 50 words has one in its first 26 places, at the same offset
 wherever it stands, with 25 words of the window after it. So equal windows have suffixes that agree in 25 words.
 
-1. The suffixes are ordered by the hash of their first 25 words; a suffix without an equal neighbour repeats nothing.
-2. The rest are extended: a suffix's stretch is all windows that chose it, from the first one's start on its left to the
-   last one's end on its right. If all suffixes of a run of equals have the same stretch, the whole stretch is repeated.
-3. In the other runs, where matches end, the windows of each stretch are compared one by one.
+Grouping by fingerprints takes the place of a sorted suffix array: no suffix is sorted and no neighbours are compared. Only
+equality is asked for, which groups answer; and in sorted order all suffixes of a hot passage would be read in one task.
+
+1. The suffixes are grouped by the hash of their first 25 words; a suffix that is alone in its group repeats nothing.
+2. A suffix's stretch is all windows that chose it, from the first one's start on its left to the last one's end on its
+   right: 75 words at most. If all suffixes of a group have the same stretch, by hash, the whole stretch is repeated.
+3. In the other groups, where matches end, the windows of each stretch are grouped one by one, by their hashes.
 4. A document's repeated windows are joined to passages. A window's first place, by doc_id and position, is kept; the
    words that its other places cover may be cut.
 
