@@ -16,6 +16,8 @@ from millrace.session import shared_folder
 
 #: Rows up to which the small side of a join is broadcast (rows of a few dozen bytes); beyond it, a shuffle join.
 BROADCAST_ROWS = 100_000
+#: Rows of one key that a shuffle join leaves together.
+HOT_ROWS = 20_000
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -65,6 +67,25 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
+def counted_join(big: DataFrame, small: DataFrame, on: list[str], count: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a written table that has a row per key and, as `count`, how many rows of big have the key.
+
+    It is broadcast if it is small enough. Beyond that both are shuffled, and keys of many rows are dealt over several
+    partitions by a hash of the whole row: small has a copy for each. How many rows are many is such that there are
+    fewer of these keys than may be broadcast, so no key is too hot and no list of keys too long, whatever the input.
+    """
+    rows, total = small.agg(F.count(F.lit(1)), F.sum(count)).first()
+    if rows <= most:
+        return big.join(F.broadcast(small.drop(count)), on)
+    share = max(HOT_ROWS, -(-total // max(1, most)))
+    salts = F.ceil(F.col(count) / share).cast("int")
+    hot = small.where(F.col(count) > share).select(*on, salts.alias("__salts"))
+    dealt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("__salts"))).cast("int")
+    left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", dealt).drop("__salts")
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(count)
+    return left.join(right, [*on, "__salt"]).drop("__salt")
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of any kinds and lengths as one compressed value."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], dtype="<i8")

@@ -162,9 +162,12 @@ def passages(rnd):
     return texts + texts[30:33] + ["\t ".join(texts[40].split())]
 
 
-@pytest.mark.parametrize("limit", [0, suffix.BROADCAST_PLACES])
-def test_passages_equal_brute_force(spark, docs_of, rnd, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "most"), [(0, 2), (suffix.BROADCAST_PLACES, suffix.MOST_ENTRIES), (suffix.BROADCAST_PLACES, 0)])
+def test_passages_equal_brute_force(spark, docs_of, rnd, monkeypatch, limit, most):
+    """By sorted entries alone, by grouped windows alone, and by both."""
     monkeypatch.setattr(suffix, "BROADCAST_PLACES", limit)
+    monkeypatch.setattr(suffix, "MOST_ENTRIES", most)
+    monkeypatch.setattr(suffix, "SORTED", 20)
     texts = passages(rnd)
     rows = suffix.repeated_passages(docs_of(texts)).collect()
     spans, cuts = brute_passages(dict(enumerate(texts)), 50)
@@ -190,6 +193,52 @@ def test_cuts(spark, docs_of, rnd, nothing):
     assert twice.count() == 20 and twice.columns == nothing.columns
 
 
+def test_one_doc_id_on_several_texts(spark, rnd):
+    """Each text is a document of its own, whatever its length; null ids take no part."""
+    shared = words(rnd, 60)
+    long = " ".join(words(rnd, 500) + shared + words(rnd, 300))
+    texts = [long, " ".join(shared), " ".join(words(rnd, 30) + shared + words(rnd, 3)), "", " ".join(words(rnd, 80)), long]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(9, " ".join(words(rnd, 9) + shared)), (None, long)], "doc_id long, text string")
+    rows = suffix.repeated_passages(df).collect()
+    assert sorted((r.doc_id, *(s.end - s.start for s in r.spans)) for r in rows) == [(7, 60), (7, 60), (7, 860), (9, 60)]
+    assert sorted(sum(s.end - s.start for s in r.cuts) for r in rows) == [0, 60, 60, 60]
+    left = [len((r.text or "").split()) for r in suffix.without_repeats(df).collect()]
+    assert sum(left) == sum(len(t.split()) for t in texts) + 69 + 860 - sum(sum(s.end - s.start for s in r.cuts) * (2 if r.spans[0].end - r.spans[0].start == 860 else 1) for r in rows)
+
+
+def test_many_places_of_a_passage(spark, rnd):
+    """A passage in most texts, each time with other words around it: more entries under a head than are sorted."""
+    shared = words(rnd, 55)
+    texts = [" ".join([f"a{k}", *shared, f"b{k}", f"c{k}"]) for k in range(2300)] + ["one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix.repeated_passages(df).collect()
+    assert len(rows) == 2300 and all(r.spans == [(1, 56)] for r in rows)
+    assert sorted(r.doc_id for r in rows if not r.cuts) == [0] and all(r.cuts == [(1, 56)] for r in rows if r.doc_id)
+
+
+def test_words_with_low_bytes_are_told_apart(spark, rnd):
+    base = words(rnd, 49)
+    texts = [" ".join([*base, x, *words(rnd, 9)]) for x in ("b", "b\x01", "b", "b\x01c", "b\x00", "b")]
+    rows = suffix.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans, cuts = brute_passages(dict(enumerate(texts)), 50)
+    assert as_sets(rows, "spans") == spans and as_sets(rows, "cuts") == cuts and set(spans) == {0, 2, 5}
+
+
+def test_hot_keys_of_a_join(spark):
+    """Keys of many rows are dealt over several partitions; no row is lost or doubled."""
+    from millrace.llm import _shared
+
+    big = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id % 50) as k", "id as v")
+    small = _shared.written(big.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low")).where("k < 40"), "test-small")
+    old, _shared.HOT_ROWS = _shared.HOT_ROWS, 100
+    try:
+        rows = _shared.counted_join(big, small, ["k"], "n", most=10).collect()
+    finally:
+        _shared.HOT_ROWS = old
+    got = {(r.k, r.v, r.low) for r in rows}
+    assert got == {(r.k, r.v, r.low) for r in big.join(small, "k").collect()} and len(rows) == len(got)
+
+
 def test_cut_text():
     text = b"  a b\n c  d e "
     assert suffix.cut_text(text, [(1, 3)]) == b"  a d e " and suffix.cut_text(text, [(0, 5)]) == b"  "
