@@ -55,11 +55,15 @@ def kept_beside(df: DataFrame, text: str, replaced: list[str]) -> tuple[DataFram
     return df.select(*map(quoted, kept), quoted(text).cast("string").alias(own)), kept, own, [df.schema[c] for c in kept]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows go to Python at once: an executor holds a few batches of whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """At most so many rows and, but for a single longer one, bytes go to Python at once: an executor holds a few batches of whole texts.
+
+    A setting of the session: plans take it when they are run, so it stays as long as their results may be asked for.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        known = str(spark.conf.get(name)).lower().removesuffix("b")
+        if not (known.isdigit() and 0 < int(known) <= most):
+            spark.conf.set(name, str(most))
 
 
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,23 +71,42 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
-def counted_join(big: DataFrame, small: DataFrame, on: list[str], count: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a written table that has a row per key and, as `count`, how many rows of big have the key.
+def _dealt(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """A shuffle join; rows of the keys in `hot` go to __salts partitions by a hash of the columns `by`, and small has a copy for each."""
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__salts"))).cast("int")
+    left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    right = small.join(F.broadcast(hot), on, "left").withColumn("__salt", copies).drop("__salts")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def counted_join(big: DataFrame, small: DataFrame, on: list[str], count: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join (inner or left) with a written table that has a row per key and, as `count`, how many rows of big have the key.
 
     It is broadcast if it is small enough. Beyond that both are shuffled, and keys of many rows are dealt over several
-    partitions by a hash of the whole row: small has a copy for each. How many rows are many is such that there are
-    fewer of these keys than may be broadcast, so no key is too hot and no list of keys too long, whatever the input.
+    partitions. How many rows are many is such that there are fewer of these keys than may be broadcast, so no key is too
+    hot and no list of keys too long, whatever the input.
     """
     rows, total = small.agg(F.count(F.lit(1)), F.sum(count)).first()
     if rows <= most:
-        return big.join(F.broadcast(small.drop(count)), on)
+        return big.join(F.broadcast(small.drop(count)), on, how)
+    share = max(HOT_ROWS, -(-total // max(1, most)))
+    hot = small.where(F.col(count) > share).select(*on, F.ceil(F.col(count) / share).cast("int").alias("__salts"))
+    return _dealt(big, small.drop(count), on, hot, how, big.columns)
+
+
+def dealt_join(big: DataFrame, small: DataFrame, on: str, rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner shuffle join with a table that has a row per key, or few; keys of many rows are dealt over several partitions.
+
+    rows: a written table of the columns that tell big's rows apart, the key among them.
+    """
+    total = rows.count()
     share = max(HOT_ROWS, -(-total // max(1, most)))
-    salts = F.ceil(F.col(count) / share).cast("int")
-    hot = small.where(F.col(count) > share).select(*on, salts.alias("__salts"))
-    dealt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("__salts"))).cast("int")
-    left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", dealt).drop("__salts")
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(count)
-    return left.join(right, [*on, "__salt"]).drop("__salt")
+    if total <= share:  # no key has more
+        return big.join(small, on)
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share)
+    hot = written(counts.select(on, F.ceil(F.col("__n") / share).cast("int").alias("__salts")), "hot-keys")
+    return _dealt(big, small, [on], hot, "inner", rows.columns)
 
 
 def packed(*arrays: np.ndarray) -> bytes:

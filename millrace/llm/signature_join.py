@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import components, dropped, raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import components, counted_join, dealt_join, dropped, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Words of a shingle; two sets link if 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
 #: A shingle is counted as frequent from so many nodes of a task on; of those, so many are put last.
 FREQUENT, MOST_FREQUENT = 5, 1 << 16
-#: Members of a leaf, about, and bits of a tree's bitmaps.
-LEAF, TREE_BITS = 256, 1024
+#: Members of a leaf, about; bits of a tree's bitmaps, at least and at most; leaves of a shingle that are held against all of
+#: its others in one place.
+LEAF, TREE_BITS, MOST_BITS, TOGETHER = 256, 1024, 16_384, 16
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -58,6 +59,11 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, size)) if len(bits) > size else bits
 
 
+def tree_words(n: int) -> int:
+    """The length of a bitmap in a tree, in 64-bit words: two bits a shingle or more, within bounds."""
+    return min(max(TREE_BITS, 1 << (2 * n - 1).bit_length()), MOST_BITS) // 64
+
+
 def most_overlap(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray) -> int:
     """The largest overlap that two signatures allow."""
     size = min(len(a), len(b))
@@ -143,7 +149,7 @@ def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int,
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures allow a link, with the largest overlap that they allow."""
+    """Pairs (a, b), a written table, whose signatures allow a link, with the largest overlap that they allow."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +157,12 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             rows = [(a, b, m) for a, n_a, x, b, n_b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "n_a", "bits_a", "b", "n_b", "bits_b")), strict=True) if links(m := most_overlap(n_a, np.frombuffer(x, np.uint64), n_b, np.frombuffer(y, np.uint64)), n_a, n_b, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["a", "b", "most"])
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long, most long")
+    both = dealt_join(dealt_join(pairs, side("b"), "b", pairs), side("a"), "a", pairs)
+    return both.mapInArrow(run, "a long, b long, most long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) of which the whole sets link."""
+    """Pairs (a, b), a written table, of which the whole sets link."""
     nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +181,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
                     rows.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return written(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long"), f"{name}-links")
+    both = dealt_join(dealt_join(pairs, side("b"), "b", pairs), side("a"), "a", pairs)
+    links_ = written(both.mapInArrow(run, "a long, b long"), f"{name}-links")
+    dropped(nodes, found)
+    return links_
 
 
 class TreeNode:
@@ -239,30 +249,33 @@ class TreeNode:
 
 def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """blocks (shingle, node, n, at, size, group): pairs of nodes of a block and different groups that may link."""
-    words = TREE_BITS // 64
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [folded(np.frombuffer(x, np.uint64), words).tobytes() for x in batch.column("bits").to_pylist()]
+            bits = [folded(np.frombuffer(x, np.uint64), tree_words(n)).tobytes() for x, n in zip(batch.column("bits").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
 
-    small = nodes.select("node", "bits").mapInArrow(fold, "node long, bits binary")
+    small = nodes.select("node", "n", "bits").mapInArrow(fold, "node long, bits binary")
     step = np.log(100 / percent) * 1.001 + 1e-9  # sets that can link are of the same class or of neighbouring ones
     placed = (
         blocks.join(small, "node")
         .withColumn("class", F.floor(F.ln("n") / F.lit(step)).cast("long"))
         .withColumn("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LEAF)))
     )
-    leaves = written(placed.groupBy("shingle", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.collect_set(F.struct("node", "n", "group", "at", "bits")).alias("members")), "join-leaves")
-    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "leaf", "g0", "g1", "members"))) for x in "ab")
-    two = a.join(b, "shingle").where(
-        "((class_a = class_b and leaf_a <= leaf_b) or class_a + 1 = class_b) and not (g0_a = g1_a and g0_b = g1_b and g0_a = g0_b)"
-    ).select("members_a", "members_b", F.expr("class_a = class_b and leaf_a = leaf_b").alias("same"))
-
-    def node(members: pa.Scalar) -> TreeNode:
+    leaves = written(placed.groupBy("shingle", "size", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.collect_set(F.struct("node", "n", "group", "at", "bits")).alias("members")), "join-leaves")
+    # a block's leaves are dealt over several partitions, each of which has all leaves that they are held against
+    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / (LEAF * TOGETHER)))
+    side = lambda x, of: of.select("shingle", "salt", "kin", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "leaf", "g0", "g1", "members")))
+    a = side("a", leaves.withColumn("salt", F.pmod("leaf", salts)).withColumn("kin", F.explode(F.array(F.col("class"), F.col("class") + 1))))
+    b = side("b", leaves.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumn("kin", F.col("class")))
+    two = a.join(b, ["shingle", "salt", "kin"]).where("(class_a < class_b or leaf_a <= leaf_b) and not (g0_a = g1_a and g0_b = g1_b and g0_a = g0_b)")
+    two = two.select("members_a", "members_b", F.expr("class_a = class_b and leaf_a = leaf_b").alias("same"))
+
+    def node(members: pa.Scalar, other: pa.Scalar) -> TreeNode:
         x = members.values
         ids, n, group, at = (x.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "group", "at"))
-        bits = np.frombuffer(b"".join(x.field("bits").to_pylist()), np.uint64).reshape(len(x), -1)
+        size = min(len(b) // 8 for y in (x, other.values) for b in y.field("bits").to_pylist())
+        bits = np.stack([folded(np.frombuffer(b, np.uint64), size) for b in x.field("bits").to_pylist()])
         order = np.lexsort([ids, n])
         return TreeNode(*(v[order] for v in (ids, n, group, at, bits)))
 
@@ -271,16 +284,28 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         rows = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
         for batch in batches:
             for x, y, same in zip(batch.column("members_a"), batch.column("members_b"), batch.column("same").to_pylist(), strict=True):
-                left = node(x)
-                found.update(TreeNode.pairs(left, left if same else node(y), percent))
-            if len(found) > 500_000:
-                yield rows()
-                found = set()
+                left = node(x, y)
+                for pair in TreeNode.pairs(left, left if same else node(y, x), percent):
+                    found.add(pair)
+                    if len(found) >= 100_000:
+                        yield rows()
+                        found = set()
         yield rows()
 
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
+def _one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with one text for each doc_id, that with the least hash, and the doc_ids of the other rows, if there are any."""
+    tagged = docs.withColumn("__tag", F.xxhash64("text"))
+    several = written(tagged.groupBy("doc_id").agg(F.min("__tag").alias("__kept"), F.max("__tag").alias("__last")).where("__kept < __last").drop("__last"), "join-several")
+    if not several.limit(1).count():
+        return docs, None
+    both = small_join(tagged, several, ["doc_id"], "left")
+    other = F.col("__kept").isNotNull() & (F.col("__tag") != F.col("__kept"))
+    return both.where(~other).select("doc_id", "text"), both.where(other).select("doc_id")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """For each row of docs its key, n_shingles (its set's size) and component (the smallest key reachable by links).
 
@@ -288,12 +313,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     words, or the whole sequence of a text with fewer. Two rows link if 100 * intersection >= percent * union. A
     null or empty text, or one without words, has an empty set: it is linked with nothing, and is its own component. Rows
     with a null key are returned with a null component and link nothing; repeated rows of a key with one text are equal
-    rows. Texts are read whole; an empty table gives no rows; other columns play no part.
+    rows. Of a key with several texts the one with the least xxhash64 counts, and all rows of the key get its results.
+    Texts are read whole; an empty table gives no rows; other columns play no part.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lost = docs.where("doc_id is null")
-    docs = docs.where("doc_id is not null")
+    docs, others = _one_text(docs.where("doc_id is not null"))
     profiles = written(_profiles(docs, size), "join-profiles")
     rows = profiles.where("name is not null").withColumnRenamed("key", "doc_id")
     top = profiles.where("name is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
@@ -301,21 +327,22 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     order = np.argsort(frequent)
     frequent, rank = frequent[order], np.array([r.n for r in top], np.int64)[order]
 
-    known = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("node"))
-    member = written(rows.select("doc_id", "n", "name").join(known, "name", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "join-members")
-    nodes = written(small_join(rows.where("n > 0"), member.where("node = doc_id and n > 0").select("doc_id").distinct(), ["doc_id"]).select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "join-nodes")
+    known = written(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-known")
+    member = written(counted_join(rows.select("doc_id", "n", "name"), known, ["name"], "rows", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "join-members")
+    copies = written(member.where("n > 0 and node <> doc_id").select("doc_id", "node").distinct(), "join-copies")
+    nodes = written(small_join(rows.where("n > 0"), copies, ["doc_id"], "left_anti").select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "join-nodes")
+    dropped(profiles, known)
 
-    dropped(profiles)
     every = written(_entries(docs, frequent, rank, size, percent), "join-entries")
-    copies = written(member.where("n > 0 and node <> doc_id").select("doc_id", "node").distinct(), "join-copies")
     entries = small_join(every, copies, ["doc_id"], "left").select("shingle", F.coalesce("node", "doc_id").alias("node"), "n", "at")
-    shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub.node < last").select("shingle", "hub", "size"), "join-shared")
-    blocks = written(small_join(entries, shared, ["shingle"]).where("node <> hub.node").select("shingle", "node", "n", "at", "hub", "size"), "join-blocks")
+    count = F.count(F.lit(1))
+    shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.max("node").alias("last"), count.alias("size"), count.alias("rows")).where("hub.node < last").select("shingle", "hub", "size", "rows"), "join-shared")
+    blocks = written(counted_join(entries, shared, ["shingle"], "rows").where("node <> hub.node").select("shingle", "node", "n", "at", "hub", "size"), "join-blocks")
     dropped(every, shared)
 
     # if this is the first shingle that both hold, they share none before their places
     fits = f"{100 + percent} * least(n - at, hub.n - hub.at) >= {percent} * (n + hub.n)"
-    pairs = blocks.where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(blocks.where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
     possible = written(_possible(pairs, nodes, percent), "join-possible")
     best = possible.groupBy("b").agg(F.max(F.struct("most", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     first = _verified(written(best, "join-best"), docs, size, percent, "join-first")
@@ -325,14 +352,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         return written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "join-groups")
 
     groups = grouped(first)
-    open_ = small_join(blocks.select("shingle", "node", "n", "at", "size"), groups, ["node"])
-    mixed_ = written(open_.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("shingle"), "join-mixed")
-    left = _possible(_tree_pairs(small_join(open_, mixed_, ["shingle"]), nodes, percent), nodes, percent)
-    rest = possible.select("a", "b").union(left.select("a", "b")).distinct()
+    open_ = written(small_join(blocks.select("shingle", "node", "n", "at", "size"), groups, ["node"]), "join-open")
+    mixed_ = open_.groupBy("shingle").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count(F.lit(1)).alias("rows")).where("g0 < g1").select("shingle", "rows")
+    left = written(_tree_pairs(counted_join(open_, written(mixed_, "join-mixed"), ["shingle"], "rows"), nodes, percent), "join-tree")
+    dropped(open_, blocks)
+    rest = possible.select("a", "b").union(_possible(left, nodes, percent).select("a", "b")).distinct()
     for side in "ab":
         rest = small_join(rest, groups.withColumnRenamed("node", side).withColumnRenamed("group", f"group_{side}"), [side])
     rest = written(rest.where("group_a <> group_b").select("a", "b"), "join-rest")
     second = _verified(rest, docs, size, percent, "join-second")
     groups = grouped(first.union(second))
     out = member.join(groups, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component"))
+    if others is not None:
+        out = out.unionByName(others.join(out.dropDuplicates(["doc_id"]), "doc_id"))
     return out.unionByName(written(_profiles(lost, size), "join-lost").where("name is not null").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component")))

@@ -80,6 +80,35 @@ def test_join_odd_rows(spark, docs_of, nothing):
     assert got == sorted([(0, 1, 0), (0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 0, 3), (None, 1, None)], key=str)
 
 
+def test_join_one_key_on_several_texts(spark, rnd):
+    """One text of the key counts, for all its rows."""
+    base = words(rnd, 60)
+    texts = [(1, " ".join(base)), (7, " ".join([*base[:-1], "x"])), (7, " ".join(words(rnd, 30))), (9, " ".join(words(rnd, 40)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = df.select("text", F.xxhash64("text").alias("tag")).where("doc_id = 7").orderBy("tag").first()
+    got = sorted((r.doc_id, r.n_shingles, r.component) for r in join.linked(df).collect())
+    own = (7, len(shingles(counts.text)), 1 if counts.text == texts[1][1] else 7)
+    assert got == sorted([(1, 56, 1), own, own, (9, 36, 9)])
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_join_with_hot_keys(spark, docs_of, rnd, monkeypatch, hot):
+    """A third of all rows are copies, another third near copies; the hot keys of every join are dealt over partitions."""
+    from millrace.llm import _shared
+
+    for name, value in (("HOT_ROWS", hot), ("BROADCAST_ROWS", 5)):
+        monkeypatch.setattr(_shared, name, value)
+    monkeypatch.setattr(_shared.counted_join, "__defaults__", ("inner", 5))
+    monkeypatch.setattr(_shared.dealt_join, "__defaults__", (5,))
+    monkeypatch.setattr(_shared.small_join, "__defaults__", ("inner", 5))
+    monkeypatch.setattr(join, "LEAF", 4)
+    monkeypatch.setattr(join, "TOGETHER", 2)
+    texts = [" ".join(words(rnd, 80))] * 40 + family(rnd, 40, 150, 0.012) + family(rnd, 20, 100, 0.03) + [" ".join(words(rnd, 40)) for _ in range(20)]
+    rnd.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in join.linked(docs_of(texts)).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+
+
 def test_bounds_never_refuse_a_link(rnd):
     for _ in range(300):
         base = np.random.default_rng(rnd.randrange(10**9)).integers(0, 2**63, rnd.randrange(1, 600)).astype(np.uint64)
