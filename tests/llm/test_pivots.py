@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import pivot_index
@@ -32,12 +34,44 @@ def test_recall_over_several_shards(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((6000, 24)).astype(np.float32)
     key = np.arange(6000)
-    got = found(pivot_index.nearest(vectors(spark, key, x), F.col("vec_id") % 20 == 0, share=0.15, least=300, shard_rows=2000))
+    got = found(pivot_index.nearest(vectors(spark, key, x), F.col("vec_id") % 20 == 0, share=0.15, least=15, shard_rows=2000))
     want = brute(key, x.astype(float), 20)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["lengths vary", "normal", "clusters"])
+def test_recall_at_shipped_constants(spark, kind):
+    """Several shards, a tenth of each ranked again; exact scores; a share of 1 is exact."""
+    rng = np.random.default_rng(3)
+    n, size = 40_000, 64
+    x = rng.standard_normal((n, size))
+    if kind == "lengths vary":
+        x *= np.exp(0.5 * rng.standard_normal((n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "clusters":
+        x = rng.standard_normal((100, size))[rng.integers(0, 100, n)] + 0.4 * x
+    x = x.astype(np.float32)
+    key = np.arange(n)
+    table = pa.table({"vec_id": key, "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    got = found(pivot_index.nearest(df, F.col("vec_id") % 400 == 0))
+    hits = []
+    for i in key[key % 400 == 0]:
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -np.inf
+        hits.append(len(set(np.argsort(-s, kind="stable")[:20].tolist()) & set(got[int(i)])) / 20)
+    assert np.mean(hits) >= 0.9 and min(hits) >= 0.6, (kind, np.mean(hits), min(hits))
+
+
+def test_queries_are_of_the_table(spark):
+    """A predicate of any column, also of one named as a column of the index, and of a row whose key occurs again."""
+    x = np.random.default_rng(5).standard_normal((50, 6)).astype(np.float32)
+    df = vectors(spark, np.arange(50), x).withColumn("shard", F.col("vec_id") % 10).withColumn("other", F.col("vec_id") * 2)
+    for queries in (F.col("shard") == 3, F.col("other").isin(6, 26, 46, 66, 86)):
+        assert set(found(pivot_index.nearest(df, queries))) == {3, 13, 23, 33, 43}
+    assert set(found(pivot_index.nearest(df, F.when(F.col("vec_id") == 3, True)))) == {3}
+
+
 def test_few_rows_ties_and_bad_vectors(spark):
     """Exact where all candidates are ranked again: ties go to the smaller id; unusable vectors take no part."""
     rng = np.random.default_rng(2)
@@ -64,5 +98,5 @@ def test_none(spark):
 def test_many_equal_vectors(spark):
     """The smaller ids among more equal vectors than a shard ranks again."""
     x = np.ones((3000, 4), np.float32)
-    got = found(pivot_index.nearest(vectors(spark, np.arange(3000), x), F.col("vec_id") == 40, least=50, share=0.01, shard_rows=1000))
+    got = found(pivot_index.nearest(vectors(spark, np.arange(3000), x), F.col("vec_id") == 40, least=3, share=0.01, shard_rows=1000))
     assert got == {40: list(range(20))}
