@@ -5,7 +5,11 @@ identifier, frame, offset in the frame, length), and a seek table in the public
 are its magic number. A file holds one bundle or several, one after another; any Zstandard tool decompresses it whole.
 
 Files are written by Spark's own text writer, so they reach whatever file system the folder is in: a row is a bundle
-without its last four bytes, and the line separator is those bytes. They are read back as binary files.
+without its last four bytes, and the line separator is those bytes. A file has a bounded number of bundles, and is read
+back whole as a binary file; a single record is read from its frame alone, by its place in the index.
+
+A record's identifier is <urn:page:N> for the only row of page N. Rows whose page_id is null or occurs again are
+<urn:page:N:task.place>, so that each record has its own; what refers to such a page names <urn:page:N>.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import slices, small_batches, small_join, written
+from millrace.llm._shared import counted_join, slices, small_batches, written
 
-#: Raw bytes of a frame and of a bundle, about; a record larger than either has its own.
-FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 23
+#: Raw bytes of a frame and of a bundle, about, a record larger than either has its own; bundles of a file.
+FRAME_BYTES, BUNDLE_BYTES, BUNDLES = 1 << 18, 1 << 23, 16
 #: Fixed values of the formats.
 SEEK_MAGIC = bytes([0xB1, 0xEA, 0x92, 0x8F])
 SEEK_FRAME, INDEX_FRAME = 0x184D2A5E, 0x184D2A50
@@ -35,9 +40,9 @@ RECORDS = "record_id string, page_id long, target_uri string, record_type string
 INDEX = "record_id string, file string, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> tuple[str, bytes]:
-    """The identifier and the bytes of a record; a revisit has the HTTP head only."""
-    name = f"<urn:page:{'null' if page_id is None else page_id}>"
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str, place: str = "") -> tuple[str, bytes]:
+    """The identifier and the bytes of a record; a revisit has the HTTP head only. place: tells records of one page_id apart."""
+    name = f"<urn:page:{'null' if page_id is None else page_id}{place and ':'}{place}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
@@ -134,7 +139,7 @@ def parsed(data: bytes) -> tuple:
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
     number = lambda x: None if x in (None, "null") else int(x)
-    key = lambda x: x and x[len("<urn:page:") : -1]
+    key = lambda x: x and x[len("<urn:page:") : -1].partition(":")[0]
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"{fields['WARC-Record-ID']}: its payload is not what its head says")
@@ -151,17 +156,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
     """
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    same = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = small_join(rows, written(same, "warc-same"), ["sha"], "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"))
+    count = F.count(F.lit(1)).alias("rows")
+    same = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("newest"), count).where("rows > 1")
+    again = rows.where("page_id is not null").groupBy("page_id").agg(count, F.lit(True).alias("again")).where("rows > 1")
+    rows = counted_join(rows, written(same, "warc-same"), ["sha"], "rows", "left")
+    rows = counted_join(rows, written(again, "warc-again"), ["page_id"], "rows", "left")
     schema = "bundle binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = BundleWriter()
+        out, task, place = BundleWriter(), TaskContext.get().partitionId(), 0
         for batch in (part for b in batches for part in slices(b, "payload")):
-            for page_id, url, data, sha, newest in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "newest")), strict=True):
+            for page_id, url, data, sha, newest, repeated in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "newest", "again")), strict=True):
                 revisit = newest is not None and newest != page_id and len(data) >= least
-                out.add(*record(page_id, url, data, len(data), base64.b32encode(bytes.fromhex(sha)).decode(), newest, revisit, date))
+                place += 1
+                own = f"{task}.{place}" if page_id is None or repeated else ""
+                out.add(*record(page_id, url, data, len(data), base64.b32encode(sha).decode(), newest, revisit, date, own))
                 if out.raw >= BUNDLE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([out.close()[:-4]], pa.binary())], names=["bundle"])
                     out = BundleWriter()
@@ -170,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
 
     # the binary of each row goes through the writer as it is: a cast to string doesn't touch the bytes
     lines = rows.mapInArrow(run, schema).select(F.col("bundle").cast("string").alias("value"))
-    lines.write.option("encoding", "ISO-8859-1").option("lineSep", SEEK_MAGIC.decode("latin-1")).text(folder)
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", SEEK_MAGIC.decode("latin-1")).option("maxRecordsPerFile", BUNDLES).text(folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,3 +224,17 @@ def archive_index(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([path] * len(name)), *(pa.array(x, pa.int64()) for x in numbers)], names=["record_id", "file", "frame_offset", "frame_bytes", "record_offset", "record_bytes"])
 
     return _files(spark, folder).mapInArrow(run, INDEX)
+
+
+def record_at(spark: SparkSession, entry: Row) -> bytes:
+    """A record by its row of archive_index: no more than its frame is read, from whatever file system the file is in."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(entry.file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        stream.seek(entry.frame_offset)
+        frame = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(entry.frame_bytes)))
+    finally:
+        stream.close()
+    raw = zstandard.ZstdDecompressor().decompress(frame)
+    return raw[entry.record_offset : entry.record_offset + entry.record_bytes]

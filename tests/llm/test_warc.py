@@ -53,10 +53,30 @@ def test_files_are_seekable_and_standard(spark, tmp_path):
             assert warc.parsed(reader.read(f"<urn:page:{k}>"))[7] == many[k][2].encode()
     index = {r.record_id: r for r in warc.archive_index(spark, str(tmp_path / "w")).collect()}
     r = index["<urn:page:7>"]
+    assert all(warc.parsed(warc.record_at(spark, index[f"<urn:page:{k}>"]))[7] == many[k][2].encode() for k in (0, 7, 299))
     frame = zstandard.ZstdDecompressor().decompress(raw[r.frame_offset : r.frame_offset + r.frame_bytes])
     assert frame[r.record_offset : r.record_offset + r.record_bytes].startswith(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>")
 
 
+def test_each_record_has_its_identifier(spark, tmp_path):
+    """Also those of null and of repeated page_ids; each is reachable by it."""
+    warc.write_archives(pages(spark), str(tmp_path / "w"))
+    index = warc.archive_index(spark, str(tmp_path / "w")).collect()
+    assert len({r.record_id for r in index}) == len(PAGES) and {"<urn:page:1>", "<urn:page:5>"} <= {r.record_id for r in index}
+    got = [warc.parsed(warc.record_at(spark, r)) for r in index]
+    assert sorted(map(str, (x[1] for x in got))) == sorted(str(i) for i, _, _ in PAGES)
+    assert [x[0] for x in got] == [r.record_id for r in index]
+
+
+def test_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Each row of a pickled function's module has these bounds: files of two bundles at most."""
+    monkeypatch.setattr(warc, "BUNDLES", 2)
+    noise = [(k, "u", "".join(chr(97 + (k * 7919 + i * i) % 26) for i in range(300)) * 4000) for k in range(40)]  # over 1 MB each
+    warc.write_archives(pages(spark, noise).coalesce(1), str(tmp_path / "w"))
+    assert len(glob.glob(str(tmp_path / "w/part-*"))) >= 2
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 40
+
+
 def test_several_bundles_in_a_file():
     bundles = []
     for k in range(3):
