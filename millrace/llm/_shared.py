@@ -71,37 +71,37 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
-def _dealt(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, how: str, by: list[str]) -> DataFrame:
+def _dealt(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, how: str, by: list[str], broadcast: bool = True) -> DataFrame:
     """A shuffle join; rows of the keys in `hot` go to __salts partitions by a hash of the columns `by`, and small has a copy for each."""
     salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__salts"))).cast("int")
     left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     right = small.join(F.broadcast(hot), on, "left").withColumn("__salt", copies).drop("__salts")
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    return left.join(right if broadcast else right.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def counted_join(big: DataFrame, small: DataFrame, on: list[str], count: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join (inner or left) with a written table that has a row per key and, as `count`, how many rows of big have the key.
 
-    It is broadcast if it is small enough. Beyond that both are shuffled, and keys of many rows are dealt over several
+    It is broadcast if it has `most` rows or fewer (0: never, so that the plan is the same at every size). Beyond that both are shuffled, and keys of many rows are dealt over several
     partitions. How many rows are many is such that there are fewer of these keys than may be broadcast, so no key is too
     hot and no list of keys too long, whatever the input.
     """
     rows, total = small.agg(F.count(F.lit(1)), F.sum(count)).first()
     if rows <= most:
         return big.join(F.broadcast(small.drop(count)), on, how)
-    share = max(HOT_ROWS, -(-total // max(1, most)))
+    share = max(HOT_ROWS, -(-(total or 0) // BROADCAST_ROWS))
     hot = small.where(F.col(count) > share).select(*on, F.ceil(F.col(count) / share).cast("int").alias("__salts"))
-    return _dealt(big, small.drop(count), on, hot, how, big.columns)
+    return _dealt(big, small.drop(count), on, hot, how, big.columns, most > 0)
 
 
-def dealt_join(big: DataFrame, small: DataFrame, on: str, rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def dealt_join(big: DataFrame, small: DataFrame, on: str, rows: DataFrame) -> DataFrame:
     """Inner shuffle join with a table that has a row per key, or few; keys of many rows are dealt over several partitions.
 
     rows: a written table of the columns that tell big's rows apart, the key among them.
     """
     total = rows.count()
-    share = max(HOT_ROWS, -(-total // max(1, most)))
+    share = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
     if total <= share:  # no key has more
         return big.join(small, on)
     counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share)

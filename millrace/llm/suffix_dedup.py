@@ -36,10 +36,8 @@ from millrace.llm._text import Words, mixed, prefix_sums, runs, span_hash
 
 #: Words of a window, places among which a minimiser is chosen, and words whose hash is compared.
 WINDOW, PLACES, GRAM = 50, 26, 5
-#: Entries whose words are fetched up to which their places are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_PLACES = 200_000
 #: Entries of a head that a task sorts; entries that it sorts at once, about.
-MOST_ENTRIES, SORTED = 2_000, 8_000
+MOST_ENTRIES, SORTED = 500, 8_000
 SPAN = "array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -258,9 +256,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
         raise ValueError("places must be 1 to 64, and leave five words of a window")
     small_batches(docs.sparkSession)
     docs = tagged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    # joins are by shuffles at every size: their sides grow with the documents
     suffixes = written(_suffixes(docs, window, places), "passages-suffixes")
     equal = written(suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "passages-equal")
-    held = written(counted_join(suffixes, equal, ["head"], "rows"), "passages-kept")
+    held = written(counted_join(suffixes, equal, ["head"], "rows", most=0), "passages-kept")
     dropped(suffixes, equal)
     entries = written(held.groupBy("head", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "place")).alias("first")), "passages-entries")
     several = written(entries.groupBy("head").agg(F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("entries")).where("rows > 1"), "passages-heads")
@@ -269,8 +268,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
     def fetched(some: DataFrame) -> DataFrame:
         """The texts of the entries' first places."""
         asked = written(some.groupBy("first.doc_id", "first.tag").agg(F.collect_list(F.struct("head", "stretch", "n", "first.place")).alias("entries")), "passages-asked")
-        few = asked.agg(F.sum(F.size("entries"))).first()[0] or 0
-        return docs.join(F.broadcast(asked) if few <= BROADCAST_PLACES else asked, ["doc_id", "tag"])
+        return docs.join(asked.hint("merge"), ["doc_id", "tag"])
 
     parts = [written(_sorted_entries(_contexts(fetched(open_.where(F.col("entries") <= MOST_ENTRIES)), window), window, places), "passages-sorted")]
     if (hot := open_.where(F.col("entries") > MOST_ENTRIES)).limit(1).count():
@@ -285,7 +283,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
 
     low = F.floor(F.col("place") / 4096).cast("int") - (F.floor(F.col("place") / 64) % 64).cast("int")
     shifted = lambda c: F.transform(c, lambda x: F.struct((x["start"] + F.col("low")).alias("start"), (x["end"] + F.col("low")).alias("end")))
-    places_ = counted_join(held, result, ["head", "stretch"], "n").withColumn("low", low)
+    places_ = counted_join(held, result, ["head", "stretch"], "n", most=0).withColumn("low", low)
     cuts = F.when(F.struct("doc_id", "tag", "place") == F.col("first"), F.col("rest")).otherwise(F.col("spans"))
     gathered = places_.select("doc_id", "tag", shifted(F.col("spans")).alias("spans"), shifted(cuts).alias("cuts")).groupBy("doc_id", "tag").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "cuts")))
 

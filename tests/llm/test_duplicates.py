@@ -99,7 +99,6 @@ def test_join_with_hot_keys(spark, docs_of, rnd, monkeypatch, hot):
     for name, value in (("HOT_ROWS", hot), ("BROADCAST_ROWS", 5)):
         monkeypatch.setattr(_shared, name, value)
     monkeypatch.setattr(_shared.counted_join, "__defaults__", ("inner", 5))
-    monkeypatch.setattr(_shared.dealt_join, "__defaults__", (5,))
     monkeypatch.setattr(_shared.small_join, "__defaults__", ("inner", 5))
     monkeypatch.setattr(join, "LEAF", 4)
     monkeypatch.setattr(join, "TOGETHER", 2)
@@ -191,10 +190,9 @@ def passages(rnd):
     return texts + texts[30:33] + ["\t ".join(texts[40].split())]
 
 
-@pytest.mark.parametrize(("limit", "most"), [(0, 2), (suffix.BROADCAST_PLACES, suffix.MOST_ENTRIES), (suffix.BROADCAST_PLACES, 0)])
-def test_passages_equal_brute_force(spark, docs_of, rnd, monkeypatch, limit, most):
+@pytest.mark.parametrize("most", [2, suffix.MOST_ENTRIES, 0])
+def test_passages_equal_brute_force(spark, docs_of, rnd, monkeypatch, most):
     """By sorted entries alone, by grouped windows alone, and by both."""
-    monkeypatch.setattr(suffix, "BROADCAST_PLACES", limit)
     monkeypatch.setattr(suffix, "MOST_ENTRIES", most)
     monkeypatch.setattr(suffix, "SORTED", 20)
     texts = passages(rnd)
@@ -238,10 +236,10 @@ def test_one_doc_id_on_several_texts(spark, rnd):
 def test_many_places_of_a_passage(spark, rnd):
     """A passage in most texts, each time with other words around it: more entries under a head than are sorted."""
     shared = words(rnd, 55)
-    texts = [" ".join([f"a{k}", *shared, f"b{k}", f"c{k}"]) for k in range(2300)] + ["one"]
+    texts = [" ".join([f"a{k}", *shared, f"b{k}", f"c{k}"]) for k in range(700)] + ["one"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = suffix.repeated_passages(df).collect()
-    assert len(rows) == 2300 and all(r.spans == [(1, 56)] for r in rows)
+    assert len(rows) == 700 and all(r.spans == [(1, 56)] for r in rows)
     assert sorted(r.doc_id for r in rows if not r.cuts) == [0] and all(r.cuts == [(1, 56)] for r in rows if r.doc_id)
 
 
@@ -259,11 +257,11 @@ def test_hot_keys_of_a_join(spark):
 
     big = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id % 50) as k", "id as v")
     small = _shared.written(big.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low")).where("k < 40"), "test-small")
-    old, _shared.HOT_ROWS = _shared.HOT_ROWS, 100
+    old, (_shared.HOT_ROWS, _shared.BROADCAST_ROWS) = (_shared.HOT_ROWS, _shared.BROADCAST_ROWS), (100, 90)
     try:
         rows = _shared.counted_join(big, small, ["k"], "n", most=10).collect()
     finally:
-        _shared.HOT_ROWS = old
+        _shared.HOT_ROWS, _shared.BROADCAST_ROWS = old
     got = {(r.k, r.v, r.low) for r in rows}
     assert got == {(r.k, r.v, r.low) for r in big.join(small, "k").collect()} and len(rows) == len(got)
 
