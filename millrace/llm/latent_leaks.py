@@ -16,8 +16,8 @@ they are among the rarer half of a piece's: copies of a leak make its words comm
 4. A candidate's neighbourhood is read for the longest common subsequence with the item. 0.8 of the item's words, in order,
    are a copy; 0.55 are a paraphrase if most of the item's answer, its last words, is among them.
 
-Items are taken in blocks, so what is broadcast, and the basis, are bounded however large the benchmark is; the documents
-are read once for each block.
+Items are taken in blocks, so what is broadcast, and the basis, are bounded however large the benchmark is. The documents
+are read once for many blocks, with the terms of all of these; a block takes its own terms' places from what was kept.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ from millrace.llm._shared import packed, raw_texts, slices, small_batches, unpac
 from millrace.llm._text import SPACE, Words
 
 #: Words of half a passage, which is a piece's length; items of a block, about, and bytes of
-#: their texts; probing vectors beyond the pieces';
-#: the share of all words from which on a term has no weight; the pieces' weight among the passages.
-HALF, ITEMS, ITEM_BYTES, EXTRA, STOP, WEIGHT = 32, 512, 1 << 17, 32, 1 / 4_000, 1e3
+#: their texts; blocks for which the documents are read once; probing vectors beyond the pieces';
+#: the share of all words from which on a term has no weight but in the rarer half of a piece; the pieces' weight among the passages.
+HALF, ITEMS, ITEM_BYTES, AT_ONCE, EXTRA, STOP, WEIGHT = 32, 512, 1 << 17, 64, 32, 1 / 4_000, 1e3
 COSINE, HELD, COPY, PARAPHRASE = 0.33, 0.55, 0.8, 0.55
 #: The answer is an item's last words: such a share, three at least; so much of it must be found.
 ANSWER, ANSWERED = 0.2, 0.6
@@ -59,7 +59,7 @@ class Benchmark:
 
     def weights(self, counts: np.ndarray, total: int) -> np.ndarray:
         """Of each term, from its count among `total` words: none if it is common, but the rarer half of each piece's terms has one."""
-        common = counts > max(STOP * total, 50)
+        common = counts > STOP * total
         for _, piece in self.pieces:
             own = np.unique(piece)
             common[own[np.argsort(counts[own], kind="stable")[: -(-len(own) // 2)]]] = False
@@ -108,10 +108,16 @@ def _sums(half: np.ndarray, term: np.ndarray, table: np.ndarray, n: int) -> np.n
     return out
 
 
-def _blocks(blob: bytes, columns: int) -> Iterator[tuple]:
-    """Runs of texts of a row: (ids, counts, places, terms), the shorter the more columns of sums are held for them."""
+def _blocks(blob: bytes, columns: int, own: np.ndarray | None) -> Iterator[tuple]:
+    """Runs of texts of a row: (ids, counts, places, terms), the shorter the more columns of sums are held for them.
+
+    own: the number of each term in the block of items, -1 for those of other blocks; None if all are its own.
+    """
     most = max(1, (1 << 24) // columns)
     ids, counts, at, term = unpacked(blob)
+    if own is not None:
+        term = own[term]
+        at, term = at[term >= 0], term[term >= 0]
     first = np.concatenate([[0], np.cumsum(counts)])
     held = np.concatenate([[0], np.searchsorted(at, first[1:])])
     start = 0
@@ -165,19 +171,19 @@ def judged(item: np.ndarray, words: np.ndarray) -> tuple[float, bool, bool]:
     return share, answered, share >= COPY or (share >= PARAPHRASE and answered)
 
 
-def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5) -> np.ndarray:
+def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, own: np.ndarray | None = None, seed: int = 5) -> np.ndarray:
     """The right singular vectors of the weighted passages of `table` and the pieces."""
     pieces = bench.vectors(weight).astype(np.float64)
     rng = np.random.default_rng(seed)
     probes = np.concatenate([pieces, rng.standard_normal((EXTRA, len(weight)))]).T
-    shared = table.sparkSession.sparkContext.broadcast((weight.astype(np.float32), probes.astype(np.float32)))
+    shared = table.sparkSession.sparkContext.broadcast((weight.astype(np.float32), probes.astype(np.float32), own))
     rows = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, probe = shared.value
+        w, probe, terms = shared.value
         total, weighted = np.zeros(probe.shape), probe * w[:, None]
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
-            for _, counts, at, term in _blocks(blob, probe.shape[1]):
+            for _, counts, at, term in _blocks(blob, probe.shape[1], terms):
                 half, of, _ = _halves(counts, at)
                 used = w[term] > 0
                 half, term = half[used], term[used]
@@ -215,18 +221,17 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, seed: int = 5
     return basis[:, size > 1e-7 * size.max(initial=1)]
 
 
-def _of_block(docs: DataFrame, items: list) -> DataFrame:
-    bench = Benchmark([r.item_id for r in items], [(r.text or "").encode() for r in items])
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, share double, answered boolean, cosine double, start_word int, end_word int"
-    if not len(bench.terms):
-        return spark.createDataFrame([], schema)
-    terms = spark.sparkContext.broadcast(bench.terms)
+SCHEMA = "doc_id long, item_id long, share double, answered boolean, cosine double, start_word int, end_word int"
+
+
+def _places(docs: DataFrame, terms: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
+    """Where the terms stand in the documents, a written table of packed rows; how often each stands; and the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words = np.zeros(len(terms.value), np.int64), 0
+        n, words = np.zeros(len(shared.value), np.int64), 0
         for batch in (part for b in batches for part in slices(b)):
-            counts, at, term = places(raw_texts(batch), terms.value)
+            counts, at, term = places(raw_texts(batch), shared.value)
             n += np.bincount(term, minlength=len(n))
             words += int(counts.sum())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -235,16 +240,20 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(np.r_[n[keys[:-1]], words])], names=["blob", "term", "n"])
 
     table = written(docs.mapInArrow(read, "blob binary, term long, n long"), "leaks-places")
-    counts = np.zeros(len(bench.terms))
-    total = 1
-    for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per term of the block
+    counts, total = np.zeros(len(terms)), 1
+    for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per term
         if r.term < 0:
             total = max(1, r.n)
         else:
             counts[r.term] = r.n
+    return table.where("blob is not null").select("blob"), counts, total
+
+
+def _of_block(table: DataFrame, bench: Benchmark, counts: np.ndarray, total: int, number: np.ndarray | None) -> DataFrame:
+    """The leaks of a block's items; counts: of its terms; number: as `own` of _blocks."""
+    spark = table.sparkSession
     weight = bench.weights(counts, total)
-    table = table.where("blob is not null").select("blob")
-    basis = _basis(table, bench, weight)
+    basis = _basis(table, bench, weight, number)
     pieces = bench.vectors(weight) @ basis
     scale = np.maximum(np.linalg.norm(pieces, axis=1), 1e-9)
     size = np.array([np.linalg.norm(np.bincount(p) * weight[: p.max() + 1]) for _, p in bench.pieces]).astype(np.float32)
@@ -252,15 +261,15 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
     # (a passage's projection times a piece's is the sum of its terms' rows of this, one number for each piece)
     adds = (basis @ (pieces / scale[:, None]).T * weight[:, None]).astype(np.float32)
     most = np.abs(adds).max(axis=1, initial=0), np.abs(adds / size).max(axis=1, initial=0)
-    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), adds, size, most))
+    shared = spark.sparkContext.broadcast((bench, weight.astype(np.float32), adds, size, most, number))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, adds_, size_, (bound, share_bound) = shared.value
+        own, w, adds_, size_, (bound, share_bound), terms = shared.value
         item_of = np.array([k for k, _ in own.pieces])
         for blob in (x for b in batches for x in b.column("blob").to_pylist()):
             rows: dict[tuple[int, int], tuple] = {}
-            for ids, counts_, at, term in _blocks(blob, adds_.shape[1]):
-                half, of, number = _halves(counts_, at)
+            for ids, counts_, at, term in _blocks(blob, adds_.shape[1], terms):
+                half, of, place_in = _halves(counts_, at)
                 used = w[term] > 0
                 h, t = half[used], term[used]
                 if not len(h):
@@ -284,8 +293,8 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
                     for i, j in zip(*np.nonzero(along >= np.minimum(COSINE * length[mine, None].astype(np.float32), HELD * size_)), strict=True):
                         p, k = mine[i], item_of[j]
                         text, item = of[p], own.items[k]
-                        low = max(0, number[p] * HALF - len(item))
-                        high = min(int(counts_[text]), number[p] * HALF + 2 * HALF + len(item))
+                        low = max(0, place_in[p] * HALF - len(item))
+                        high = min(int(counts_[text]), place_in[p] * HALF + 2 * HALF + len(item))
                         known = rows.get((int(ids[text]), int(k)))
                         if known and known[0] >= 1:
                             continue
@@ -297,7 +306,7 @@ def _of_block(docs: DataFrame, items: list) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([int(own.ids[k]) for _, k in rows], pa.int64()), *(pa.array([r[c] for r in rows.values()], kind) for c, kind in enumerate((pa.float64(), pa.bool_(), pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "share", "answered", "cosine", "start_word", "end_word"])
 
-    return table.mapInArrow(search, schema)
+    return table.mapInArrow(search, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -315,9 +324,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     count, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-count // ITEMS), -(-(size or 0) // ITEM_BYTES))
     items = written(items.dropDuplicates(["item_id", "text"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "leaks-items")
-    out = None
-    for (block,) in items.select("block").distinct().orderBy("block").collect():
-        found = _of_block(docs, items.where(F.col("block") == block).orderBy("item_id", "text").collect())
-        out = found if out is None else out.unionByName(found)
-    schema = "doc_id long, item_id long, share double, answered boolean, cosine double, start_word int, end_word int"
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for first in range(0, blocks, AT_ONCE):
+        rows = items.where(F.col("block").between(first, first + AT_ONCE - 1)).orderBy("block", "item_id", "text").collect()
+        texts: dict[int, list] = {}
+        for r in rows:
+            texts.setdefault(r.block, []).append(r)
+        benches = [Benchmark([r.item_id for r in x], [(r.text or "").encode() for r in x]) for x in texts.values()]
+        benches = [b for b in benches if len(b.terms)]
+        if not benches:
+            continue
+        terms = np.unique(np.concatenate([b.terms for b in benches]))
+        table, counts, total = _places(docs, terms)
+        for bench in benches:
+            of = np.searchsorted(terms, bench.terms)
+            number = None
+            if len(benches) > 1:
+                number = np.full(len(terms), -1, np.int32)
+                number[of] = np.arange(len(of))
+            found = found.unionByName(_of_block(table, bench, counts[of], total, number))
+    return found

@@ -56,8 +56,9 @@ def planted():
 
 @pytest.mark.parametrize("block", [leaks.ITEMS, 15])
 def test_planted_leaks(spark, docs_of, planted, monkeypatch, block):
+    """Also in blocks of 15 items, two of which share a reading of the documents."""
     monkeypatch.setattr(leaks, "ITEMS", block)
-    monkeypatch.setattr(leaks, "STOP", 1 / 100)
+    monkeypatch.setattr(leaks, "AT_ONCE", 2)
     items, docs, want = planted
     bench = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(items)] + [(None, items[0], 1, "x"), (900, None, 1, "x"), (901, "", 1, "x"), (902, "!!", 1, "x")], "item_id long, text string, doc_id int, blob string")
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs + ODD), bench).collect()}
@@ -83,9 +84,45 @@ def test_leaks_held_often(spark, docs_of, rnd):
     assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs), bench).collect()} == want
 
 
+def test_an_item_of_common_words(spark):
+    """A verbatim copy of an item of which every word is common, and a changed one, in one document each."""
+    rnd = random.Random(3)
+    some = [f"v{k}" for k in range(300)]
+    item = [rnd.choice(some) for _ in range(40)]
+    docs = [[rnd.choice(some) for _ in range(200)] for _ in range(200)]
+    docs[17][50:50] = item
+    changed = [rnd.choice(some) if k in (4, 11, 19, 26, 30) else w for k, w in enumerate(item)]
+    docs[31][90:90] = changed
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = leaks.leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), bench)
+    assert {r.doc_id for r in got.collect()} == {17, 31}
+
+
+def every_pair(docs, items):
+    """Documents and items of which any passage's neighbourhood is judged a leak."""
+    out = set()
+    bench = leaks.Benchmark(list(range(len(items))), [t.encode() for t in items])
+    for d, text in enumerate(docs):
+        counts, at, term = leaks.places([(text or "").encode()], bench.terms)
+        for first in range(0, max(1, int(counts[0])), leaks.HALF):
+            for k, item in enumerate(bench.items):
+                x, z = np.searchsorted(at, (max(0, first - len(item)), min(int(counts[0]), first + 2 * leaks.HALF + len(item))))
+                if len(item) and leaks.judged(item, term[x:z])[2]:
+                    out.add((d, k))
+    return out
+
+
+def test_against_every_pair(spark, docs_of, planted):
+    """All pairs by their longest common subsequence, without a search."""
+    items, docs, want = planted
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs_of(docs + ODD), bench).collect()}
+    every = every_pair(docs + ODD, items)
+    assert got <= every and want <= every and len(got) >= 0.97 * len(every)
+
+
 def test_many_items(spark, docs_of, rnd, monkeypatch):
     """A block of over 400 pieces is searched as well as one of few: the basis keeps each piece's length."""
-    monkeypatch.setattr(leaks, "STOP", 1 / 100)
     items = [" ".join(f"q{rnd.randrange(4000)}" for _ in range(rnd.randrange(15, 60))) for _ in range(300)]
     docs = []
     for text in items:
@@ -95,8 +132,8 @@ def test_many_items(spark, docs_of, rnd, monkeypatch):
         docs.append(" ".join(own))
     kept, of = [], leaks._basis
 
-    def basis(table, bench, weight):
-        out = of(table, bench, weight)
+    def basis(table, bench, weight, own):
+        out = of(table, bench, weight, own)
         kept.append(np.linalg.norm(bench.vectors(weight) @ out, axis=1))
         return out
 
@@ -157,9 +194,8 @@ def corpus_folder(spark, docs, labels, items):
     return folder
 
 
-def test_stages(spark, corpus, monkeypatch):
+def test_stages(spark, corpus):
     """Each stage on what the one before it kept, against what was planted and plain Python."""
-    monkeypatch.setattr(leaks, "STOP", 1 / 100)
     from tests.llm.test_duplicates import brute_components, brute_passages
 
     kinds, texts, docs, folder = corpus
@@ -200,8 +236,7 @@ def test_empty_corpus(spark, tmp_path, corpus):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
-def test_clashing_columns(spark, corpus, monkeypatch):
-    monkeypatch.setattr(leaks, "STOP", 1 / 100)
+def test_clashing_columns(spark, corpus):
     _, _, docs, folder = corpus
     more = docs.withColumns({c: F.lit(1) for c in ("__score", "score", "component", "__cuts", "ids", "__text")})
     for _, stage in corpus_pipeline.STAGES[:4]:
