@@ -8,13 +8,13 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
 from millrace.operators import counters, mapping, ordering, partitioning, pipes, reducing
 from millrace.plans import terasort as tera
-from millrace.plans.job import Job
+from millrace.plans.job import Job, user_map, user_reduce
 from millrace.session import shared_folder
 from millrace.sources import generators, readers, writers
 
@@ -174,6 +174,47 @@ def sampled_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("c_custkey", partitioning.total_order(F.col("c_name"), cuts).cast("int").alias("partition"))
 
 
+_SKEWED = "case when l_orderkey % 3 = 0 then 'hot' else 'k' || l_orderkey end"
+
+
+@query(
+    f"with k as (select l_orderkey, l_linenumber, {_SKEWED} as key from lineitem), s as (select key, row_number() over (order by key) - 1 as r, count(*) over () as n from k), "
+    "cuts as (select list(distinct key order by key) as c from s, range(1, 8) t(i) where r = floor(n / 8.0 * i + 0.5)) "
+    "select len(list_filter(c, lambda x: x <= key))::int as partition, count(*) as records, count(distinct key) as keys from k, cuts group by 1"
+)
+def skewed_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut points of a table of which a third has one key: partitions are dealt by them through a job, and none is empty."""
+    pairs = _kv(spark, sf_dir, "lineitem", _SKEWED.replace("'k' || l_orderkey", "concat('k', l_orderkey)"), "l_linenumber")
+    cuts = partitioning.sample_cuts(pairs, 8, sample=1 << 24)
+    dealt = Job(spark).input(frame=pairs).partitioner("core.total_order", cuts).reduces(8).records()
+    return dealt.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("key").alias("keys"))
+
+
+@query(
+    "with c as (select o_orderpriority as key, count(*) as n from orders group by 1) "
+    "select key, n as value, len(list_filter(['2', '4'], lambda x: x <= key))::int as partition, row_number() over (partition by len(list_filter(['2', '4'], lambda x: x <= key)) order by key) as place from c"
+)
+def job_counted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's counts in the number of partitions asked for, dealt by its partitioner, and sorted."""
+    job = Job(spark).input(frame=_kv(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey")).partitioner("core.total_order", ["2", "4"])
+    counted = job.reducer("core.count_records").reduces(3).records()
+    return counted.select("key", "value", F.spark_partition_id().alias("partition"), (ordering.place_in_partition() + 1).alias("place"))
+
+
+@query(
+    "select key, value, (key::bigint % 4)::int as partition, row_number() over (partition by key::bigint % 4 order by key) as place from "
+    "(select l_suppkey::varchar as key, sum(l_linenumber)::bigint as value from lineitem where l_linenumber > 2 group by 1)"
+)
+def job_mapped_and_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job with a user's mapper, combiner, partitioner and reducer, whose output partitions are as the partitioner says, in key order."""
+    add = lambda k, values: [(k, sum(values))]
+    schema = "key string, value long"
+    job = Job(spark).input(frame=_kv(spark, sf_dir, "lineitem", "string(l_suppkey)", "bigint(l_linenumber)"))
+    job.mapper(user_map(lambda k, v: [(k, v)] if v > 2 else [], schema)).combiner(lambda df: reducing.combined(df, add, schema))
+    done = job.partitioner(F.col("key").cast("long") % 4).reducer(user_reduce(add, schema)).reduces(4).records()
+    return done.select("key", "value", F.spark_partition_id().alias("partition"), (ordering.place_in_partition() + 1).alias("place"))
+
+
 @query("select p_type[1:2] as key, count(*) as records from part group by 1")
 def truncated_key_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = partitioning.truncated(_kv(spark, sf_dir, "part", "p_type", "p_size"), 2)
@@ -188,21 +229,14 @@ def sort_within_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each partition's records in key order, numbered as they stand."""
     rows = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("partition"), F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("text"))
     dealt = ordering.sort_within(partitioning.explicit(rows, 4, F.col("partition")), "text")
-
-    def numbered(batches):  # noqa: ANN001, ANN202
-        at = 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("partition"), b.column("key"), pa.array(range(at + 1, at + 1 + b.num_rows), pa.int64())], names=["partition", "key", "place"])
-            at += b.num_rows
-
-    return dealt.mapInArrow(numbered, "partition int, key long, place long")
+    return dealt.select("partition", "key", (ordering.place_in_partition() + 1).alias("place"))
 
 
 @query("select p_partkey, (row_number() over (order by p_name, p_partkey) - 1) as place from part")
 def total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total order: a partition's first place is the number of records in those before it."""
     ordered = ordering.total_sort(_table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", "p_partkey")
-    return ordered.rdd.map(lambda r: r.p_partkey).zipWithIndex().toDF("p_partkey long, place long")
+    return ordering.numbered(ordered.select("p_partkey")).select("p_partkey", "place")
 
 
 @query("with k as (select c_custkey, round(c_acctbal * 100)::bigint as cents from customer) select c_custkey, cents, row_number() over (order by cents < 0, cents, c_custkey) as place from k")
@@ -210,7 +244,7 @@ def byte_order_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed numbers as their big-endian bytes order them: negative ones last."""
     cents = _table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"))
     ordered = ordering.total_sort(cents.withColumn("below", F.col("cents") < 0), "below", "cents", "c_custkey")
-    return ordered.rdd.map(lambda r: (r.c_custkey, r.cents)).zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF("c_custkey long, cents long, place long")
+    return ordering.numbered(ordered.select("c_custkey", "cents")).select("c_custkey", "cents", (F.col("place") + 1).alias("place"))
 
 
 # reducers
@@ -280,9 +314,9 @@ def grouped_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reducing.reduced(_kv(spark, sf_dir, "orders", "o_orderstatus", "o_orderkey"), ends, "key string, first long, last long, n long")
 
 
-@query("select l_linestatus as key, count(*) as value from lineitem group by 1")
+@query("select l_partkey::varchar as key, count(*) as value from lineitem group by 1")
 def nosort_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ordering.unsorted(partitioning.by_hash(_kv(spark, sf_dir, "lineitem", "l_linestatus", "l_orderkey"), 4))
+    pairs = ordering.unsorted(partitioning.by_hash(_kv(spark, sf_dir, "lineitem", "string(l_partkey)", "l_orderkey"), 4))
     return reducing.count_records(pairs)
 
 
@@ -305,10 +339,29 @@ def map_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kv(spark, sf_dir, "customer", "c_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("records"), counters.record_bytes().alias("bytes"))
 
 
-@query()
+def _checksum_sql() -> str:
+    """Bytes as pairs of hexadecimal digits; DuckDB's exclusive or is a function."""
+    table = lambda p: f"list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda x, k: xor(x >> 1, (x & 1) * {p}::bigint)))"
+    fold = lambda t: f"xor(list_reduce(list_prepend(4294967295::bigint, b), lambda s, x: xor({t}[(xor(s, x) & 255) + 1], s >> 8)), 4294967295)"
+    return (
+        f"with t as materialized (select {table(0xEDB88320)} as usual, {table(0x82F63B78)} as castagnoli), "
+        "h as (select p_partkey, hex(encode(p_name || p_type || p_brand)) as h from part), "
+        "v as (select p_partkey, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::bigint) as b from h) "
+        f"select p_partkey, {fold('usual')} as crc32, {fold('castagnoli')} as crc32c from v, t"
+    )
+
+
+@query(_checksum_sql())
 def crc_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("text").cast("binary")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(raw).alias("crc32"), F.xxhash64(raw).alias("xxhash64"))
+    raw = F.concat("p_name", "p_type", "p_brand").cast("binary")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.crc32(raw).alias("crc32"), fn.crc32c(raw).alias("crc32c"))
+
+
+@query("select doc_id, min(doc_id) over (partition by text) as first_equal from documents")
+def wide_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts told apart by 64-bit hashes: each document's first one with the same hash."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("hash"))
+    return docs.select("doc_id", F.min("doc_id").over(Window.partitionBy("hash")).alias("first_equal"))
 
 
 @query(
@@ -351,22 +404,47 @@ def teragen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.teragen(spark, rows).select("row", F.hex("key").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-@query("select count(*)::bigint as records, 0::bigint as faults from orders")
+@query(f"select key, (row_number() over (order by key) - 1)::bigint as place from ({_tera_sql()})")
 def terasort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated rows sorted: the records and the faults of their order."""
+    """Generated rows sorted: each key and its place."""
     rows = generators.teragen(spark, _table(spark, sf_dir, "orders").count())
-    return tera.order_faults(tera.sorted_records(rows.select("key", "value")))
+    return ordering.numbered(tera.sorted_records(rows.select("key", "value")).select(F.hex("key").alias("key"))).select("key", "place")
+
+
+@query("select count(*)::bigint as records, 0::bigint as faults from orders")
+def terasort_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as files, read, sorted and written again: their number and the faults of their order."""
+    folder = f"{shared_folder(spark)}/millrace/terasort-{uuid.uuid4().hex}"
+    writers.write_tera(generators.teragen(spark, _table(spark, sf_dir, "orders").count()), f"{folder}/in")
+    return tera.order_faults(tera.sorted_records(readers.tera_lines(spark, f"{folder}/in"), 6))
+
+
+@query("select lpad(p_partkey::varchar, 10, '0') as key, p_name as value from part")
+def tera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as fixed prefixes of lines, written and read."""
+    target = f"{shared_folder(spark)}/millrace/tera-{uuid.uuid4().hex}"
+    writers.write_tera(_kv(spark, sf_dir, "part", "lpad(string(p_partkey), 10, '0')", "p_name"), target)
+    return readers.tera_lines(spark, target).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(r"select '' as key, case when ends_with(x, chr(13)) then x[1:length(x) - 1] else x end as value, count(*) as n from (select unnest(string_split(text, chr(10))) as x from documents where text <> '' and not ends_with(text, chr(10))) group by all")
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files that the raw writer wrote: texts as they are, each with a line feed behind it."""
+    target = f"{shared_folder(spark)}/millrace/lines-{uuid.uuid4().hex}"
+    texts = _table(spark, sf_dir, "documents").where("text <> '' and not endswith(text, '\n')")
+    writers.write_raw(texts.select(F.concat("text", F.lit("\n")).alias("value")), target)
+    return readers.lines(spark, target).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_orderkey::varchar as key, o_orderstatus as value from orders")
+@query("select o_orderkey::varchar as key, upper(o_orderpriority) as value from orders")
 def pipe_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
-    return pipes.pipe_map(lines, "cat")
+    lines = _table(spark, sf_dir, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    return pipes.pipe_map(lines, "tr '[:lower:]' '[:upper:]'")
 
 
-@query("select '' as key, o_orderpriority || chr(9) || o_orderkey as value from orders")
+@query("select '' as key, o_orderkey::varchar as value from orders where o_orderpriority <> '1-URGENT'")
 def pipe_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipes.pipe_reduce(_kv(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey"), "cat")
+    return pipes.pipe_reduce(_kv(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey"), "grep -v URGENT | cut -f 2 || true")
 
 
 @query("select event_type as key, user_id as value from events")

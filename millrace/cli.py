@@ -42,10 +42,11 @@ def job_of(spark: SparkSession, args: argparse.Namespace) -> Job:
     job = Job(spark, options).output(args.output)
     paths = parse_list(args.input)
     if args.inputformat:
-        frame = spark.read.format(args.inputformat).load(paths)
-        job.input(frame=frame.repartition(args.maps) if args.maps else frame)
+        job.input(frame=spark.read.format(args.inputformat).load(paths))
     else:
         job.input(*paths)
+    if args.maps:
+        job.maps(args.maps)
     for role in ("reader", "mapper", "combiner", "partitioner", "reducer", "writer"):
         if name := getattr(args, role):
             getattr(job, role)({"mapper": "core.identity", "reducer": "core.passive"}[role] if name == "JAVA" and role in ("mapper", "reducer") else name)

@@ -48,16 +48,24 @@ def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
 
-def record_map(df: DataFrame, mapper: type | Callable, schema: str = "key string, value string") -> DataFrame:
+def made(plug: type | Callable, options: dict | None) -> object | None:
+    """A user's object for a task: configured before anything else, if it can be; None for a function."""
+    own = plug() if isinstance(plug, type) else None
+    if hasattr(own, "configure"):
+        own.configure(dict(options or {}))
+    return own
+
+
+def record_map(df: DataFrame, mapper: type | Callable, schema: str = "key string, value string", options: dict | None = None) -> DataFrame:
     """A user's mapper over all records.
 
     mapper: a function (key, value) that gives or yields pairs; or a class, made once per task, with map(key, value) and
-    perhaps setup() and close(), which may yield pairs too.
+    perhaps configure(options), setup() and close(), of which the last two may yield pairs too.
     """
     out = arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mapper() if isinstance(mapper, type) else None
+        own = made(mapper, options)
         step = own.map if own else mapper
 
         def rows() -> Iterator[Pair]:
@@ -72,9 +80,27 @@ def record_map(df: DataFrame, mapper: type | Callable, schema: str = "key string
     return df.select("key", "value").mapInArrow(run, schema)
 
 
-def arrow_map(df: DataFrame, handler: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """A handler of whole batches: buffers in, buffers out."""
-    return df.mapInArrow(handler, schema)
+def arrow_map(df: DataFrame, handler: type | Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, options: dict | None = None, commands: Iterable[tuple[str, object]] = ()) -> DataFrame:
+    """A handler of whole batches: buffers in, buffers out.
+
+    handler: a function of an iterator of batches; or a class, made once per task, with process(batch), which gives or yields batches, and
+    perhaps configure(options), command(name, argument), called for each of `commands` before the first batch, and finish().
+    """
+    if not isinstance(handler, type):
+        return df.mapInArrow(handler, schema)
+    commands = list(commands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = made(handler, options)
+        given = lambda x: [x] if isinstance(x, pa.RecordBatch) else x or ()
+        for name, argument in commands:
+            yield from given(own.command(name, argument))
+        for batch in batches:
+            yield from given(own.process(batch))
+        if hasattr(own, "finish"):
+            yield from given(own.finish())
+
+    return df.mapInArrow(run, schema)
 
 
 def table_function(df: DataFrame, name: str, *columns: str) -> DataFrame:

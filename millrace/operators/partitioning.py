@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import partition_by_hash
@@ -50,25 +50,45 @@ def partition_of(key, cuts: list) -> int:  # noqa: ANN001
 
 
 def sample_cuts(df: DataFrame, n: int, key: str = "key", sample: int = 100_000) -> list:
-    """n - 1 cut points at even steps of a sorted sample: the `sample` keys with the smallest hashes, so that it is the same each time."""
-    hashed = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(sample)
-    keys = sorted(r.k for r in hashed.collect())
-    if n > max(1, len(keys)):
-        raise ValueError(f"{n} partitions of {len(keys)} sampled keys")
-    return pick_cuts(keys, n)
+    """n - 1 cut points, or fewer, at even steps of a sorted sample of about `sample` rows; all rows, if there are no more.
+
+    Rows are taken by a hash of their places, so a key is in the sample as often as its share of the rows demands.
+    """
+    keys = df.select(F.col(key).alias("k")).where("k is not null")
+    rows = keys.count()
+    if rows > sample:
+        most = int(sample / rows * (1 << 62))
+        keys = keys.where(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), 2) < most)
+    found = sorted(r.k for r in keys.collect())
+    if n > max(1, len(found)):
+        raise ValueError(f"{n} partitions of {len(found)} sampled keys")
+    return pick_cuts(found, n)
 
 
 def pick_cuts(keys: list, n: int) -> list:
+    """Of sorted keys, those at even steps, each once: equal cut points would have empty partitions between them."""
     step = len(keys) / n
-    return [keys[min(len(keys) - 1, int(math.floor(step * i + 0.5)))] for i in range(1, n)]
+    return sorted({keys[min(len(keys) - 1, int(math.floor(step * i + 0.5)))] for i in range(1, n)})
+
+
+def read_cuts(spark: SparkSession, path: str) -> list[str]:
+    """Cut points from a file: the keys of its lines, up to a tab, in the order of their bytes."""
+    from millrace.sources import readers
+
+    return sorted({r.key for r in readers.key_value_lines(spark, path).select("key").collect()}, key=str.encode)
+
+
+def write_cuts(spark: SparkSession, cuts: list, path: str) -> None:
+    """Cut points as a file that read_cuts reads."""
+    spark.createDataFrame([(str(c),) for c in cuts], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
 
 
 def by_range(df: DataFrame, n: int, key: str = "key", cuts: list | None = None) -> DataFrame:
-    """n partitions in key order: by given cut points, or by those that Spark samples."""
+    """n partitions in key order: by given cut points, or by those that Spark samples. With fewer cut points the last partitions are empty."""
     if cuts is None:
         return df.repartitionByRange(n, key)
-    if len(cuts) != n - 1:
-        raise ValueError(f"{n} partitions need {n - 1} cut points, not {len(cuts)}")
+    if len(cuts) > n - 1:
+        raise ValueError(f"{n} partitions have {n - 1} cut points, not {len(cuts)}")
     return explicit(df, n, total_order(F.col(key), cuts))
 
 

@@ -39,10 +39,16 @@ def _through(lines: Iterator[str], command: str) -> Iterator[str]:
 
     thread = Thread(target=feed, daemon=True)
     thread.start()
-    for line in process.stdout:
-        yield line.removesuffix(b"\n").decode()
-    thread.join()
-    if code := process.wait():
+    try:
+        for line in process.stdout:
+            yield line.removesuffix(b"\n").decode()
+        thread.join()
+        code = process.wait()
+    finally:  # also where nobody reads on
+        process.kill()
+        process.stdout.close()
+        process.wait()
+    if code:
         raise RuntimeError(f"{command!r} ended with status {code}")
     if failed:
         raise failed[0]

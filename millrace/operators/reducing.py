@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.mapping import Pair, _batched, arrow_schema
-from millrace.operators.partitioning import spread
+from millrace.operators.mapping import Pair, _batched, arrow_schema, made
 
 WRAP = 1 << 32
+#: Records that a combiner sorts and groups at once.
+COMBINED = 1 << 17
 
 
 def int_sum(df: DataFrame, wrap: bool = False) -> DataFrame:
@@ -46,17 +47,19 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[Pair]:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-def _over_groups(df: DataFrame, reducer: type | Callable, schema: str) -> DataFrame:
+def _over_groups(df: DataFrame, reducer: type | Callable, schema: str, options: dict | None = None, runs: Callable = lambda batches: [_records(batches)]) -> DataFrame:
+    """runs: sets of records in key order, over each of which groups are made."""
     out = arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = reducer() if isinstance(reducer, type) else None
+        own = made(reducer, options)
         step = own.reduce if own else reducer
 
         def rows() -> Iterator[Pair]:
             yield from (own.setup() or ()) if hasattr(own, "setup") else ()
-            for key, group in groupby(_records(batches), key=itemgetter(0)):  # values not read are passed over
-                yield from step(key, (v for _, v in group)) or ()
+            for records in runs(batches):
+                for key, group in groupby(records, key=itemgetter(0)):  # values not read are passed over
+                    yield from step(key, (v for _, v in group)) or ()
             yield from (own.close() or ()) if hasattr(own, "close") else ()
 
         yield from _batched(rows(), out)
@@ -64,17 +67,43 @@ def _over_groups(df: DataFrame, reducer: type | Callable, schema: str) -> DataFr
     return df.select("key", "value").mapInArrow(run, schema)
 
 
-def reduced(df: DataFrame, reducer: type | Callable, schema: str = "key string, value string", partitions: int | None = None) -> DataFrame:
+def reduced(df: DataFrame, reducer: type | Callable, schema: str = "key string, value string", partitions: int | None = None, options: dict | None = None, grouped: bool = False) -> DataFrame:
     """A user's reducer: reduce(key, values) yields any number of pairs; values is an iterator that is read but once.
 
-    reducer: a function, or a class with reduce and perhaps setup and close.
+    reducer: a function, or a class with reduce and perhaps configure, setup and close. grouped: df's partitions are already dealt
+    and sorted by key.
     """
-    return _over_groups(identity(df, partitions), reducer, schema)
+    return _over_groups(df if grouped else identity(df, partitions), reducer, schema, options)
 
 
-def combined(df: DataFrame, combiner: type | Callable, schema: str = "key string, value string") -> DataFrame:
-    """A user's combiner over each partition's records in key order, before any exchange; it must be associative."""
-    return _over_groups(spread(df).sortWithinPartitions("key"), combiner, schema)
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[Pair]]:
+    """Runs of COMBINED records, each in the order of its keys; records of a key keep theirs."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def run() -> Iterator[Pair]:
+        table = pa.Table.from_batches(held)
+        key = table.column(0).combine_chunks()
+        key = key.cast(pa.binary()) if pa.types.is_string(key.type) else key
+        order = pa.compute.sort_indices(pa.table({"k": key, "at": pa.array(range(len(key)))}), [("k", "ascending"), ("at", "ascending")])
+        return _records(table.take(order).to_batches())
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= COMBINED:
+            yield run()
+            held, rows = [], 0
+    if rows:
+        yield run()
+
+
+def combined(df: DataFrame, combiner: type | Callable, schema: str = "key string, value string", options: dict | None = None) -> DataFrame:
+    """A user's combiner over the records of each partition as they are read, a bounded run in key order at a time.
+
+    There is no exchange before it, and no sort of a whole partition; it must be associative, and may meet a key in several runs.
+    """
+    return _over_groups(df, combiner, schema, options, _sorted_runs)
 
 
 def passive(df: DataFrame, mapper: type | Callable, schema: str = "key string, value string", partitions: int | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ LEGACY = {
     "mapred.output.compress": "compress",
     "mapred.output.compression.codec": "codec",
     "mapred.map.output.sort": "sort",
+    "mapred.map.tasks": "maps",
+    "total.order.partitioner.path": "cuts",
 }
 
 
@@ -52,14 +54,17 @@ class JobOptions:
     compress: bool = False
     codec: str = "gzip"
     sort: bool = True
+    maps: int | None = None  # partitions of the input; None: as it is read
+    cuts: str | None = None  # a file of cut points, a line each
     wrap_sums: bool = False
     extra: dict = field(default_factory=dict)
 
     def with_pairs(self, pairs: dict[str, str]) -> JobOptions:
         """With legacy options applied; those without a field are kept in extra."""
         known = {LEGACY[k]: v for k, v in pairs.items() if k in LEGACY}
-        if "partitions" in known:
-            known["partitions"] = int(known["partitions"])
+        for name in ("partitions", "maps"):
+            if name in known:
+                known[name] = int(known[name])
         for name in ("compress", "sort"):
             if name in known:
                 known[name] = parse_bool(known[name])

@@ -44,9 +44,21 @@ def write_tera(df: DataFrame, path: str, compression: str | None = None, mode: s
 
 
 def write_raw(df: DataFrame, path: str, compression: str | None = None, mode: str = "errorifexists") -> None:
-    """The values, which hold their own line feeds; the last one of each is what the writer puts."""
-    value = F.col("value").cast("string")
-    _write(df, F.when(F.endswith(value, F.lit("\n")), F.left(value, F.length(value) - 1)).otherwise(value), path, compression, "\n", mode)
+    """The values' bytes one after another, with nothing between or behind them; a file for each partition."""
+    from millrace.sources.datasource import STREAM_CODECS, RawSource
+
+    if (compression := compression or "none") not in STREAM_CODECS:
+        raise ValueError(f"unknown codec {compression!r} of raw output; known: {', '.join(STREAM_CODECS)}")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    if there and mode == "ignore":
+        return
+    if there and mode not in ("append", "overwrite"):
+        raise FileExistsError(path)
+    spark.dataSource.register(RawSource)
+    values = df.select(F.coalesce(F.col("value").cast("string"), F.lit("")).cast("binary").alias("value"))
+    values.write.format("raw_bytes").mode("overwrite" if mode == "overwrite" else "append").option("compression", compression).option("path", path).save()
 
 
 def write_frame(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", **options: str) -> None:  # noqa: A002

@@ -51,3 +51,8 @@ def test_data_source(spark, tmp_path):
     df.write.format("tera").mode("append").save(str(tmp_path / "out"))
     written = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").iterdir()))
     assert written.count(b"\r\n") == 25_001 and len(written) == 25_001 * 100
+    df.limit(10).write.format("tera").mode("append").save(str(tmp_path / "out"))
+    for _ in range(2):
+        df.limit(100).write.format("tera").mode("overwrite").save(f"file://{tmp_path}/out")
+    kept = [p for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")]
+    assert sum(len(p.read_bytes()) for p in kept) == 100 * 100 and not any(p.is_dir() for p in kept)

@@ -53,6 +53,77 @@ def test_user_classes_and_combiner(spark, source):
     assert {r.key: int(r.value) for r in job.records().collect()} == Counter(str(len(w)) for w in TEXT.split())
 
 
+def test_sums_are_dealt_and_sorted(spark):
+    """Also sums and counts have the partitions asked for, in key order; output counters say what came out."""
+    rows = spark.range(3000).selectExpr("format_string('%03d', id % 300) as key", "1 as value")
+    job = Job(spark).input(frame=rows).reducer("core.int_sum").partitioner("core.total_order", ["100", "200"]).reduces(3)
+    got = job.records().withColumn("p", F.spark_partition_id()).collect()
+    assert [(r.key, r.value, r.p) for r in got] == [(f"{k:03d}", 10, k // 100) for k in range(300)]
+    counts = job.counters.get()
+    assert (counts["map output"]["records"], counts["reduce groups"]["records"]) == (3000, 300)
+
+
+def test_counters_of_every_kind_of_job(spark, source):
+    job = Job(spark).input(source).mapper("core.tokens").reduces(0)
+    words = len(TEXT.split())
+    assert job.records().count() == words and job.counters.get()["map output"]["records"] == words
+    job = Job(spark).input(source).reducer("core.group_identity").reduces(2)
+    job.records().collect()
+    counts = job.counters.get()
+    assert counts["reduce input"]["records"] == counts["reduce output"]["records"] == 100 and counts["map input"]["bytes"] > 0
+
+
+def test_several_inputs_of_both_kinds(spark, source):
+    rows = spark.createDataFrame([("k", "v")], "key string, value string")
+    got = Job(spark).input(source, frame=rows).input(frame=rows).reduces(0).records()
+    assert got.count() == 102
+
+
+def test_options_reach_plug_ins(spark, source):
+    class Tagged:
+        def configure(self, options):
+            self.tag, self.n = options["my.tag"], options["partitions"]
+
+        def map(self, key, value):
+            yield self.tag, str(self.n)
+
+    class Joined:
+        def configure(self, options):
+            self.tag = options["my.tag"]
+
+        def reduce(self, key, values):
+            yield key + self.tag, "".join(sorted(set(values)))
+
+    options = JobOptions().with_pairs({"my.tag": "x", "mapred.reduce.tasks": "3"})
+    got = Job(spark, options).input(source).mapper(user_map(Tagged)).reducer(user_reduce(Joined)).records().collect()
+    assert [(r.key, r.value) for r in got] == [("xx", "3")]
+
+
+def test_a_mapper_meets_records_as_they_stand(spark, tmp_path):
+    """The order of a small input is that of its files, whatever the number of cores."""
+
+    class Numbered:
+        n = 0
+
+        def map(self, key, value):
+            self.n += 1
+            yield value, str(self.n)
+
+    (tmp_path / "a").write_text("".join(f"{k:04d}\n" for k in range(500)))
+    got = Job(spark).input(str(tmp_path / "a")).mapper(user_map(Numbered)).reduces(1).records().collect()
+    assert [(r.key, r.value) for r in got] == [(f"{k:04d}", str(k + 1)) for k in range(500)]
+
+
+def test_cut_points_of_a_file(spark, tmp_path):
+    from millrace.operators import partitioning
+
+    rows = spark.range(100).selectExpr("format_string('%03d', id) as key", "id as value")
+    partitioning.write_cuts(spark, ["025", "050", "075"], str(tmp_path / "cuts"))
+    options = JobOptions().with_pairs({"total.order.partitioner.path": str(tmp_path / "cuts"), "mapred.reduce.tasks": "4"})
+    got = Job(spark, options).input(frame=rows).partitioner("core.total_order").records().select("value", F.spark_partition_id().alias("p")).collect()
+    assert all(r.p == r.value // 25 for r in got) and len(got) == 100
+
+
 def test_partitioners(spark, source):
     job = Job(spark).input(frame=spark.range(100).selectExpr("format_string('%03d', id) as key", "id as value")).reduces(4)
     cuts = ["025", "050", "075"]
@@ -92,6 +163,26 @@ def test_command_line(spark, source, tmp_path):
     assert lines_of(tmp_path / "out") == sorted(f"{w}:{n}" for w, n in Counter(TEXT.split()).items())
 
 
+def test_command_line_formats(spark, source, tmp_path):
+    parse = lambda *x: cli.parser().parse_args(["submit", *x])
+    spark.createDataFrame([("b", "2"), ("a", "1")], "key string, value string").write.parquet(str(tmp_path / "p"))
+    args = parse("-input", str(tmp_path / "p"), "-output", str(tmp_path / "o"), "-inputformat", "parquet", "-outputformat", "json", "-mapper", "JAVA", "-reducer", "JAVA", "-maps", "3", "-reduces", "1")
+    job = cli.job_of(spark, args)
+    assert job.options.maps == 3
+    job.run()
+    assert [(r.key, r.value) for r in spark.read.json(str(tmp_path / "o")).collect()] == [("a", "1"), ("b", "2")]
+    args = parse("-input", source, "-output", str(tmp_path / "q"), "-maps", "5", "-reduces", "0")
+    assert cli.job_of(spark, args).records().rdd.getNumPartitions() == 5
+
+
+def test_terasort_command(spark, tmp_path, monkeypatch):
+    rows = generators.teragen(spark, 3_000, 3)
+    writers.write_tera(rows, str(tmp_path / "in"))
+    assert cli.main(["terasort", str(tmp_path / "in"), str(tmp_path / "out"), "-reduces", "4"]) == 0
+    keys = [line[:10] for p in sorted(glob.glob(str(tmp_path / "out/part-*"))) for line in open(p, "rb").read().split(b"\r\n") if line]
+    assert len(keys) == 3_000 and keys == sorted(keys)
+
+
 def test_terasort(spark, tmp_path):
     rows = generators.teragen(spark, 20_000, 5)
     writers.write_tera(rows, str(tmp_path / "in"))

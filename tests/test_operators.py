@@ -10,7 +10,7 @@ from millrace.operators import counters, mapping, ordering, partitioning, pipes,
 @pytest.fixture(scope="module")
 def pairs(spark):
     """Shuffled keys with values made from them."""
-    rows = [(str(i), str(i * 113)) for i in range(20_000)]
+    rows = [(str(i), str(i * 37)) for i in range(20_000)]
     random.Random(2).shuffle(rows)
     return spark.createDataFrame(rows, "key string, value string").cache()
 
@@ -22,7 +22,7 @@ def test_partitions_hold_their_keys_in_order(spark, pairs):
 
     got = dealt.select("key", "value", F.spark_partition_id().alias("p"), partition_by_hash(F.col("key"), 10).alias("want")).collect()
     assert sorted(int(r.key) for r in got) == list(range(20_000))
-    assert all(r.p == r.want and int(r.value) == int(r.key) * 113 for r in got)
+    assert all(r.p == r.want and int(r.value) == int(r.key) * 37 for r in got)
     for p in range(10):
         keys = [r.key for r in got if r.p == p]
         assert keys == sorted(keys)
@@ -53,11 +53,68 @@ def test_cut_points(spark):
     with pytest.raises(ValueError, match="partitions of"):
         partitioning.sample_cuts(df, 6)
     with pytest.raises(ValueError, match="cut points"):
-        partitioning.by_range(df, 3, cuts=["b"])
+        partitioning.by_range(df, 2, cuts=["b", "d"])
     with pytest.raises(ValueError, match="sorted"):
         partitioning.total_order(F.col("key"), ["d", "b"])
 
 
+@pytest.mark.parametrize("sample", [2_000, 100_000])
+def test_cuts_of_a_hot_key(spark, sample):
+    """A third of the rows have one key: it has a partition, the others are even, and none is empty."""
+    df = spark.range(0, 30_000, 1, 5).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("%06d", F.expr("id * 7919 % 100003"))).alias("key"))
+    cuts = partitioning.sample_cuts(df, 9, sample=sample)
+    got = {r.p: r.n for r in partitioning.by_range(df, 9, cuts=cuts).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    assert cuts == sorted(set(cuts)) and len(got) == len(cuts) + 1 >= 6
+    assert sum(got.values()) == 30_000 and sorted(got.values())[-2] < 2 * 30_000 / 9
+
+
+def test_places_in_the_whole_order(spark):
+    df = spark.range(0, 5_000, 1, 7).selectExpr("(id * 7919) % 5003 as k")
+    got = ordering.numbered(df.repartitionByRange(6, "k").sortWithinPartitions("k")).collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.place)] == sorted(r.k for r in got) and [*range(5_000)] == sorted(r.place for r in got)
+    assert ordering.numbered(df.where("k < 0")).count() == 0
+
+
+def test_combiner_in_bounded_runs(spark, monkeypatch):
+    """No exchange and no sort before it; a key may come several times, its values in their order."""
+    monkeypatch.setattr(reducing, "COMBINED", 100)
+    df = spark.range(0, 1_000, 1, 1).selectExpr("string(id % 7) as key", "id as value")
+    got = reducing.combined(df, lambda k, values: [(k, list(values))], "key string, value array<long>")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    rows = got.collect()
+    assert all(r.value == sorted(r.value) for r in rows) and sorted(v for r in rows for v in r.value) == [*range(1_000)] and len(rows) >= 7
+
+
+def test_batch_handlers_take_commands(spark):
+    import pyarrow as pa
+
+    class Handler:
+        def configure(self, options):
+            self.add = options["add"]
+
+        def command(self, name, argument):
+            self.add += {"more": argument, "less": -argument}[name]
+
+        def process(self, batch):
+            return pa.RecordBatch.from_arrays([pa.array([x + self.add for x in batch.column(0).to_pylist()], pa.int64())], names=["id"])
+
+        def finish(self):
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64())], names=["id"])
+
+    got = mapping.arrow_map(spark.range(0, 4, 1, 1), Handler, "id long", {"add": 10}, [("more", 5), ("less", 1)])
+    assert sorted(r.id for r in got.collect()) == [-1, 14, 15, 16, 17]
+
+
+def test_a_pipe_that_nobody_reads_on_ends():
+    import subprocess
+
+    lines = pipes._through((str(k) for k in range(10**9)), "cat; echo marker-of-this-test > /dev/null")
+    assert next(lines) == "0"
+    lines.close()
+    assert "marker-of-this-test" not in subprocess.run(["ps", "-eo", "cmd"], capture_output=True, text=True).stdout
+
+
 def test_explicit_partitions(spark):
     got = partitioning.explicit(spark.range(100), 3, F.col("id") % 3).select("id", F.spark_partition_id().alias("p")).collect()
     assert all(r.p == r.id % 3 for r in got)
@@ -88,16 +145,16 @@ def test_mappers(spark):
 
 
 def grouped(spark):
-    return spark.createDataFrame([(str(i // 4869), f"{i}:{i // 4869}") for i in range(50_000)], "key string, value string")
+    return spark.createDataFrame([(str(i // 3217), f"{i}:{i // 3217}") for i in range(50_000)], "key string, value string")
 
 
 def test_reducers_see_whole_groups(spark):
     """Groups far larger than a batch, values read in part, and results of any number."""
     df = grouped(spark)
     got = reducing.reduced(df, lambda k, values: [(k, str(sum(1 for _ in values)))], partitions=3).collect()
-    assert {r.key: int(r.value) for r in got} == Counter(str(i // 4869) for i in range(50_000))
+    assert {r.key: int(r.value) for r in got} == Counter(str(i // 3217) for i in range(50_000))
     got = reducing.reduced(df, lambda k, values: [(k, next(values).split(":")[1])], partitions=3).collect()
-    assert sorted(r.key for r in got) == sorted(r.value for r in got) == sorted({str(i // 4869) for i in range(50_000)})
+    assert sorted(r.key for r in got) == sorted(r.value for r in got) == sorted({str(i // 3217) for i in range(50_000)})
 
 
 def test_identity_and_passive(spark):
@@ -119,7 +176,7 @@ def test_folds(spark):
     parts = dict(init=lambda k: 0, step=lambda s, v: s + 1, finish=lambda k, s: f"{k}={s}")
     plain = {r.value for r in reducing.fold(df, **parts).collect()}
     assert plain == {r.value for r in reducing.fold(df, merge=lambda a, b: a + b, **parts).collect()}
-    assert "0=4869" in plain
+    assert "0=3217" in plain
 
 
 def test_sums_are_combined_before_the_exchange(spark):

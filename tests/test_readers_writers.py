@@ -58,6 +58,12 @@ def test_number_and_tera_writers(spark, tmp_path):
     writers.write_text_int(spark.createDataFrame([("", 3)], "key string, value int").coalesce(1), str(tmp_path / "n"), separator=":")
     writers.write_tera(spark.createDataFrame([(bytearray(b"ab"), bytearray(b"c"))], "key binary, value binary").coalesce(1), str(tmp_path / "t"))
     writers.write_raw(spark.createDataFrame([("", "x\n"), ("", "y\n")], "key string, value string").coalesce(1), str(tmp_path / "r"))
+    writers.write_raw(spark.createDataFrame([("", "x\ny"), ("", None), ("", "z")], "key string, value string").coalesce(1), str(tmp_path / "u"))
+    writers.write_raw(spark.createDataFrame([("", "x\n"), ("", "z")], "key string, value string").coalesce(1), f"file://{tmp_path}/g", compression="gzip")
+    assert open(glob.glob(str(tmp_path / "u/part-*"))[0], "rb").read() == b"x\nyz"
+    assert sorted(r.value for r in readers.lines(spark, str(tmp_path / "g")).collect()) == ["x", "z"]
+    with pytest.raises(FileExistsError):
+        writers.write_raw(spark.createDataFrame([("", "z")], "key string, value string"), str(tmp_path / "u"))
     got = [open(glob.glob(str(tmp_path / f"{x}/part-*"))[0], "rb").read() for x in "ntr"]
     assert got == [b":3\n", b"abc\r\n", b"x\ny\n"]
 

@@ -40,6 +40,20 @@ def test_checksums(spark):
     assert one(spark, F.crc32, data, "binary") == 3421780262
     assert one(spark, fn.crc32c, data, "binary") == 0xE3069283
     assert one(spark, fn.crc32c, None, "binary") is None
+    import random
+
+    rnd = random.Random(4)
+
+    def bitwise(value):
+        state = 0xFFFFFFFF
+        for byte in value:
+            state ^= byte
+            for _ in range(8):
+                state = (state >> 1) ^ (0x82F63B78 if state & 1 else 0)
+        return state ^ 0xFFFFFFFF
+
+    values = [rnd.randbytes(n) for n in [*range(70), 127, 128, 129, 1000, 3]]
+    assert fn.checksums(values).tolist() == [bitwise(x) for x in values] and len(fn.checksums([])) == 0
 
 
 def test_unsigned_order(spark):
