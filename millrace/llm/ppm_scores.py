@@ -8,9 +8,10 @@ context, all other bytes are equally likely. The unigram model is what op3's con
 
 The trie isn't gathered anywhere. Texts are written in chunks; a chunk names its distinct words and six-byte strings once,
 in parts by hash; a part sums what all chunks have; the probability of a byte depends on its string alone and is computed
-for each distinct string once, where all strings that share their last two context bytes meet (what shorter contexts
-need is a table of 256 x 256 counts); and each chunk gets back the values of its own words and strings. So what moves is in
-proportion to the chunks' distinct contents, every task holds a chunk or a part, and nothing depends on the number of texts.
+for each distinct string once, where all strings that share their last three context bytes meet (what shorter contexts
+need comes as a table: of the last two bytes the rows of those contexts, of the last one 256 x 256 counts); and each chunk gets back the values of its own words and strings. So what moves is in
+proportion to the chunks' distinct contents, every task holds a chunk or a part, and nothing depends on the number of texts: strings
+of six bytes that share three are 2^24 at most, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -60,11 +61,12 @@ def strings(norm: np.ndarray, order: int = ORDER) -> np.ndarray:
     return (code << _U(8)) | norm
 
 
-def log_probabilities(code: np.ndarray, count: np.ndarray, one: np.ndarray, order: int = ORDER) -> np.ndarray:
+def log_probabilities(code: np.ndarray, count: np.ndarray, two: tuple[np.ndarray, np.ndarray], one: np.ndarray, order: int = ORDER) -> np.ndarray:
     """log10 of the probability of each string's last byte.
 
-    code: distinct strings, sorted, among them all of their contexts' last two bytes; count: how often each was learnt;
-    one[context byte, byte]: the counts of all strings by their last two bytes.
+    code: distinct strings, sorted, among them all of their contexts' last three bytes; count: how often each was learnt;
+    two: all strings' last two context bytes and last byte, sorted, of the context bytes of `code` at least, and their counts;
+    one[context byte, byte]: the counts of all strings by their last context byte.
     """
     n, sym = len(code), (code & _U(255)).astype(np.int64)
     total, still = np.zeros(n), np.ones(n, bool)
@@ -72,8 +74,12 @@ def log_probabilities(code: np.ndarray, count: np.ndarray, one: np.ndarray, orde
     for o in range(order, -1, -1):
         if o >= 2:
             edge = code if o == order else ((code >> _U(8 * (order - o + 1))) << _U(8)) | (code & _U(255))
-            known, at = np.unique(edge, return_inverse=True)
-            c = np.bincount(at, count, len(known))
+            if o == 2:
+                known, c = two
+                at = np.searchsorted(known, edge)
+            else:
+                known, at = np.unique(edge, return_inverse=True)
+                c = np.bincount(at, count, len(known))
             new = np.r_[True, known[1:] >> _U(8) != known[:-1] >> _U(8)]
             place, first = np.cumsum(new) - 1, np.flatnonzero(new)
             all_, kinds = np.add.reduceat(c, first), np.add.reduceat((c > 0).astype(float), first)
@@ -81,16 +87,15 @@ def log_probabilities(code: np.ndarray, count: np.ndarray, one: np.ndarray, orde
             all_, kinds = all_[context], kinds[context]
         else:
             row = (code >> _U(8 * order)).astype(np.int64)
-            table = one[row] if o == 1 else None
             own = one[row, sym] if o == 1 else zero[sym]
             all_ = one.sum(axis=1)[row] if o == 1 else np.full(n, zero.sum())
             kinds = (one > 0).sum(axis=1).astype(float)[row] if o == 1 else np.full(n, float((zero > 0).sum()))
-            del table
         rest, left = all_, kinds
         if upper is not None:  # without what the longer context has been followed by
             if o >= 1:
-                u_place, u_edge_first, u_c, u_at, u_count = upper
-                gone = np.bincount(u_place, own[u_edge_first] * (u_c > 0), u_count)[u_place[u_at]]
+                u_place, u_known, u_example, u_c, u_at, u_count = upper
+                below = own[u_example] if o >= 2 else one[(u_known >> _U(16)).astype(np.int64), (u_known & _U(255)).astype(np.int64)]
+                gone = np.bincount(u_place, below * (u_c > 0), u_count)[u_place[u_at]]
                 gone_kinds = np.bincount(u_place, u_c > 0, u_count)[u_place[u_at]]
             else:  # behind one byte of context: its row of the table
                 gone = ((one > 0) * zero[None, :]).sum(axis=1)[row]
@@ -103,13 +108,21 @@ def log_probabilities(code: np.ndarray, count: np.ndarray, one: np.ndarray, orde
         total[miss] += np.log10(left[miss] / (2 * rest[miss]))
         still &= ~hit
         if o >= 2:
-            edge_first = np.zeros(len(known), np.int64)
-            edge_first[at] = np.arange(n)
-            upper = (place, edge_first, c, at, len(first))
+            example = np.zeros(len(known), np.int64)  # of the strings, one with this edge
+            example[at] = np.arange(n)
+            upper = (place, known, example, c, at, len(first))
     total[still] -= math.log10(max(1, 256 - int((zero > 0).sum())))
     return total
 
 
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The sums of the runs between edges, each by its own values alone: equal runs have equal sums."""
+    out, some = np.zeros(len(edges) - 1), edges[1:] > edges[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(float), edges[:-1][some])
+    return out
+
+
 def _parts(values: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(values ^ _U(0x2545F4914F6CDD1D)) % _U(parts)).astype(np.int64)
 
@@ -187,6 +200,8 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
     a null key are scored too. Without rows to learn from, each byte has the probability 1/256 and known words are none. An
     empty table gives no rows; other columns play no part. Words are told apart by 64-bit hashes.
     """
+    if order < 2:
+        raise ValueError("contexts have two bytes at least")
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -206,14 +221,22 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
     for r in grams.groupBy(near, F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         one[r.near, r.byte] = r.n
 
-    def model(part: pa.Table) -> pa.Table:
-        code = part["code"].to_numpy().view(np.uint64)
-        at = np.argsort(code)
-        value = log_probabilities(code[at], part["n"].to_numpy()[at].astype(float), one, order)
+    def model(part: pa.Table, shorter: pa.Table) -> pa.Table:
+        code, pair = (x["code"].to_numpy().view(np.uint64) for x in (part, shorter))
+        if not len(code):
+            return part.slice(0, 0).select(["part", "code"]).append_column("value", pa.array([], pa.float64()))
+        at, by = np.argsort(code), np.argsort(pair)
+        two = pair[by], shorter["n"].to_numpy()[by].astype(float)
+        value = log_probabilities(code[at], part["n"].to_numpy()[at].astype(float), two, one, order)
         return pa.table({"part": part["part"].take(pa.array(at)), "code": pa.array(code[at].view(np.int64)), "value": pa.array(value)})
 
-    last_two = F.pmod(F.xxhash64(F.shiftrightunsigned("code", 8 * (order - 1))), F.lit(parts))
-    valued = written(grams.withColumn("contexts", last_two).groupBy("contexts").applyInArrow(model, "part int, code long, value double"), "ppm-model")
+    pair = F.shiftrightunsigned("code", 8 * (order - 1))
+    last_three = F.pmod(F.xxhash64(F.shiftrightunsigned("code", 8 * max(1, order - 2))), F.lit(parts))
+    dealt = grams.withColumns({"contexts": last_three, "pair": pair})
+    pairs = written(grams.groupBy(pair.alias("pair"), F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")), "ppm-pairs")
+    shorter = written(dealt.select("contexts", "pair").distinct().join(pairs, "pair").select("contexts", (F.shiftleft("pair", 8) + F.col("byte")).alias("code"), "n"), "ppm-shorter")
+    by = lambda x: x.groupBy("contexts")
+    valued = written(by(dealt.select("contexts", "part", "code", "n")).cogroup(by(shorter)).applyInArrow(model, "part int, code long, value double"), "ppm-model")
 
     def back(own: pa.Table, known: pa.Table) -> pa.Table:
         """Each chunk's strings' values."""
@@ -254,10 +277,9 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
             n_tokens, known, base, bits = [], [], [], []
             for first, w, w_at, end, g, g_at in blocks:
                 c = times[np.searchsorted(word, w)][w_at]
-                add = lambda x, edges: np.diff(np.concatenate([[0.0], np.cumsum(x)])[edges])
                 n_tokens.append(np.diff(first) + 1)
-                known.append(add(c > 0, first) + (end_times > 0))
-                base.append(add(np.log10(c + 1), first) + math.log10(end_times + 1))
+                known.append(_sums(c > 0, first) + (end_times > 0))
+                base.append(_sums(np.log10(c + 1), first) + math.log10(end_times + 1))
                 bits.append(np.add.reduceat(value[np.searchsorted(gram, g)][g_at], np.concatenate([[0], end[:-1]])))
             n, k, s, v = (np.concatenate(x) for x in (n_tokens, known, base, bits))
             out.append(pa.table({"doc_id": pa.array(ids, pa.int64(), mask=lost), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(np.rint(k).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), learnt)), "base_score": pa.array(s - n * math.log10(learnt + distinct + 1)), "score": pa.array(v)}))
@@ -281,6 +303,22 @@ def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
     return total
 
 
+def adaptive_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """For each row its key and the adaptive score of its whole text: every text is learnt from its own start on, alone.
+
+    A null text is empty and has an end only; rows with a null key are scored too; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b)):
+            score = [adaptive_code_length(x, order) for x in raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
 def next_byte(trie: dict[bytes, dict[int, int]], before: bytes, byte: int, order: int) -> float:
     """log10 of the probability of a byte behind a context, by the definition above."""
     total, gone = 0.0, set()

@@ -53,7 +53,16 @@ def test_probabilities_equal_the_definition(rnd, order):
     count = np.array([learnt[v] for v in value.tolist()], float)
     one = np.zeros((256, 256))
     np.add.at(one, ((value >> np.uint64(8 * order)).astype(int), (value & np.uint64(255)).astype(int)), count)
-    got = ppm.log_probabilities(value, count, one, order)
+    u = np.uint64
+    pair = ((value >> u(8 * (order - 1))) << u(8)) | (value & u(255))
+    two, at = np.unique(pair, return_inverse=True)
+    of_two = np.bincount(at, count, len(two))
+    got = ppm.log_probabilities(value, count, (two, of_two), one, order)
+    three = value >> u(8 * max(1, order - 2))
+    for shared in np.unique(three):  # a group of strings alone, with the rows of their last two bytes
+        own = three == shared
+        rows = np.isin(two >> u(8), pair[own] >> u(8))
+        assert np.array_equal(ppm.log_probabilities(value[own], count[own], (two[rows], of_two[rows]), one, order), got[own])
     for text in texts[:3] + other:
         own = code([text])
         assert got[np.searchsorted(value, own)].sum() == pytest.approx(code_length(trie, text, order), abs=1e-9)
@@ -81,6 +90,8 @@ def test_query(spark, docs_of, rnd, monkeypatch):
         own = [*normal_text(t).split(), "end"]
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
         assert got[k].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
+        if 0 <= (k or -1) - (len(texts) - 5):  # copies of texts 20 to 24
+            assert (got[k].base_score, got[k].score) == (got[k - len(texts) + 25].base_score, got[k - len(texts) + 25].score)
         if len(t or "") < 3000:
             assert got[k].score == pytest.approx(code_length(trie, t, ppm.ORDER), rel=1e-4, abs=1e-4)
 
@@ -96,6 +107,19 @@ def test_many_chunks_and_none(spark, docs_of, rnd, nothing, monkeypatch):
     assert (untaught.n_known, untaught.train_tokens) == (0, 0) and untaught.score == pytest.approx(-3 * math.log10(256), rel=1e-6)
 
 
+def test_adaptive_scores(spark, docs_of, rnd, nothing):
+    texts = ODD[:13] + [" ".join(words(rnd, 50)) for _ in range(5)]
+    got = {r.doc_id: r.score for r in ppm.adaptive_scores(docs_of(texts)).collect()}
+    assert got == {k: ppm.adaptive_code_length((t or "").encode()) for k, t in enumerate(texts)}
+    assert ppm.adaptive_scores(nothing).count() == 0
+
+
+def test_equal_texts_have_equal_sums(rnd):
+    own = np.random.default_rng(3).standard_normal(700)
+    values = np.concatenate([np.random.default_rng(4).standard_normal(991), own, own[:0], own])
+    assert len(set(ppm._sums(values, np.array([991, 1691, 1691, 2391])).tolist())) == 2
+
+
 def test_adaptive_code_length(rnd):
     text = " ".join(words(rnd, 40, 10)).encode()
     twice = ppm.adaptive_code_length(text + b" " + text)
