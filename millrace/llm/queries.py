@@ -81,6 +81,27 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op3_ppm_scores, op4_quality_nbsvm, op5_latent_leaks, op6_signature_join, op7_token_counts, op8_pivot_index, op9_toxicity_pu, op10_piece_codec)}
 
+def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can express: all its columns but the model's own score."""
+    kept = op3_ppm_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+    return kept
+
+
+def pivot_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 with all rows of each shard ranked again, which SQL can express."""
+    found = pivot_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, share=1.0)
+    return found.withColumn("score", F.round("score", 6))
+
+
+QUERIES |= {f.__name__: f for f in (unigram_base, pivot_exact)}
+
+ORACLES["pivot_exact"] = """
+with e as (select vec_id, embedding::double[] as v from embeddings where embedding is not null),
+p as (select q.vec_id as query_id, e.vec_id, list_inner_product(q.v, e.v) as s from e q join e on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id),
+r as (select *, (row_number() over (partition by query_id order by s desc, vec_id))::int as rank from p)
+select query_id, rank, vec_id, round(s, 6) as score from r where rank <= 20
+"""
+
 ORACLES["op2_seekable_warc"] = """
 with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as x from pages),
 r as (select *, max(page_id) over (partition by x) as newest from p)
@@ -92,6 +113,17 @@ from r
 """
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, 1 + length(doc_id::varchar)), lambda i: ascii((doc_id::varchar)[i])::bigint)), lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295)"
+ORACLES["unigram_base"] = f"""
+with t as materialized (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) as t),
+d as (select doc_id, {_CRC_SQL} % 7 = 2 as held_out, list_append({_WORDS}, ' end') as w from documents, t),
+x as (select doc_id, held_out, unnest(w) as g from d),
+c as (select g, count(*) as n from x where not held_out group by g),
+s as (select sum(n)::bigint as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c.n) as n_known, any_value(s.n) as train_tokens,
+  round(sum(log10((coalesce(c.n, 0) + 1) / (s.n + s.v + 1))), 3) as base_score
+from x left join c on x.g = c.g cross join s group by doc_id, held_out
+"""
 ORACLES["op6_signature_join"] = f"""
 with recursive w as (select doc_id, {_WORDS} as w from documents),
 sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]

@@ -93,6 +93,24 @@ def distinct(rows: list[np.ndarray], common: float = 0.05) -> list[np.ndarray]:
     return out
 
 
+def loss(rows: list[np.ndarray], sign: float, weight: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+    """The mean logistic loss of texts, as arrays of features, taken as of a class (1 or -1), and its gradient (the bias last)."""
+    size = np.array([len(x) for x in rows])
+    of, found = np.repeat(np.arange(len(rows)), size), np.concatenate(rows)
+    z = np.bincount(of, weight[found], len(rows)) + bias
+    slope = -sign / (1 + np.exp(np.clip(sign * z, -40, 40))) / len(rows)
+    return float(np.logaddexp(0, -sign * z).mean()), np.append(np.bincount(found, slope[of], len(weight)), slope.sum())
+
+
+def risk(positive: list[np.ndarray], unlabelled: list[np.ndarray], weight: np.ndarray, bias: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """The non-negative risk, its bracket, and the direction to step against: the gradient, or, where the bracket is negative, the bracket's turned."""
+    (as_positive, up), (as_negative, down) = (loss(positive, sign, weight, bias) for sign in (1, -1))
+    other, un = loss(unlabelled, -1, weight, bias)
+    bracket = other - prior * as_negative
+    slope = prior * up + un - prior * down if bracket >= 0 else prior * down - un
+    return prior * as_positive + max(0.0, bracket), bracket, slope
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, seed: int = 11) -> Model:
     """Texts as arrays of distinct buckets; copies count once. Without texts of either kind the score is the prior."""
     positive, unlabelled = distinct(positive), distinct(unlabelled)
@@ -111,23 +129,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     weight, bias, rng = np.zeros(len(used)), start, np.random.default_rng(seed)
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
 
-    def part(kind: int, chosen: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
-        """The mean loss of texts taken as of a class, and its gradient (the bias last)."""
-        flat = [rows[kind][i] for i in chosen]
-        size = np.array([len(x) for x in flat])
-        of, found = np.repeat(np.arange(len(flat)), size), np.concatenate(flat)
-        z = np.bincount(of, weight[found], len(flat)) + bias
-        slope = -sign / (1 + np.exp(np.clip(sign * z, -40, 40))) / len(flat)
-        return float(np.logaddexp(0, -sign * z).mean()), np.append(np.bincount(found, slope[of], len(used)), slope.sum())
-
     for step in range(1, steps + 1):
         # large batches: the bracket of a small one is often negative by chance, which holds scores near the prior
-        a, b = (every if len(every) <= BATCH else rng.choice(every, BATCH, replace=False) for every in (np.arange(len(positive)), np.arange(len(unlabelled))))
-        (_, up), (as_negative, down), (loss, un) = part(0, a, 1), part(0, a, -1), part(1, b, -1)
-        if loss - prior * as_negative >= 0:
-            slope = prior * up + un - prior * down
-        else:
-            slope = prior * down - un
+        batch = ([kind[i] for i in rng.choice(len(kind), BATCH, replace=False)] if len(kind) > BATCH else kind for kind in rows)
+        _, _, slope = risk(*batch, weight, bias, prior)
         slope[:-1] += SHRINK * weight
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
         move = RATE * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -96,6 +96,63 @@ def test_dual_coordinate_descent_separates():
     assert np.allclose(again.weight, model.weight, atol=1e-5)
 
 
+def test_dual_coordinate_descent_is_exact():
+    """Against the dual problem solved by projected gradients with momentum: the same primal objective and weights."""
+    rnd = np.random.default_rng(1)
+    n, cost = 60, 2.0
+    rows = [np.unique(np.r_[rnd.integers(0, 40, 10), rnd.integers(30, 60, 4)]) if k % 3 else np.unique(rnd.integers(25, 60, 10)) for k in range(n)]
+    label = np.array([int(k % 3 > 0) for k in range(n)])
+    model = quality_nbsvm.fit(rows, label, buckets=64, passes=20_000, cost=cost)
+    x = np.zeros((n, 65))
+    for k, r in enumerate(rows):
+        x[k, r] = model.ratio[r]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x[:, 64] = 1
+    y = np.where(label > 0, 1.0, -1.0)
+    most = np.where(y > 0, cost * n / (2 * (y > 0).sum()), cost * n / (2 * (y < 0).sum()))
+    z = x * y[:, None]
+    q = z @ z.T
+    step, alpha, ahead, t = 1 / np.linalg.eigvalsh(q)[-1], np.zeros(n), np.zeros(n), 1.0
+    for _ in range(50_000):
+        new = np.clip(ahead - step * (q @ ahead - 1), 0, most)
+        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, alpha = new + (old - 1) / t * (new - alpha), new
+    primal = lambda w: w @ w / 2 + (most * np.maximum(0, 1 - z @ w)).sum()
+    exact, got = z.T @ alpha, np.append(model.weight, model.bias)
+    assert primal(exact) - (alpha.sum() - alpha @ q @ alpha / 2) < 1e-3 * primal(exact)  # no gap: it is the solution
+    assert primal(got) < primal(exact) * 1.01 and np.abs(got - exact).max() < 0.05 * np.abs(exact).max()
+
+
+def test_log_count_ratios():
+    rows = [np.array([0, 1]), np.array([0]), np.array([1, 2]), np.array([2])]
+    model = quality_nbsvm.fit(rows, np.array([1, 1, 0, 0]), buckets=4)
+    p, q = np.array([3.0, 2, 1]), np.array([1.0, 2, 3])
+    assert model.ratio[:3] == pytest.approx(np.log((p / p.sum()) / (q / q.sum()))) and model.ratio[3] == 0
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.4, 0.95])
+def test_non_negative_risk_and_its_gradient(prior):
+    """By definition, text by text, and by differences; a negative bracket is turned round."""
+    rnd = np.random.default_rng(2)
+    positive, unlabelled = ([np.unique(rnd.integers(0, 20, 6)) for _ in range(k)] for k in (9, 14))
+    seen = set()
+    for shift in (-3.0, 0.0, 4.0):
+        weight, bias = rnd.standard_normal(20), shift
+        one = lambda rows, sign, w, b: np.mean([np.log1p(np.exp(-sign * (w[r].sum() + b))) for r in rows])
+        parts = lambda w, b: (prior * one(positive, 1, w, b), one(unlabelled, -1, w, b) - prior * one(positive, -1, w, b))
+        kept, bracket = parts(weight, bias)
+        value, own, slope = toxicity_pu.risk(positive, unlabelled, weight, bias, prior)
+        assert value == pytest.approx(kept + max(0, bracket)) and own == pytest.approx(bracket)
+        what = (lambda w, b: sum(parts(w, b))) if bracket >= 0 else (lambda w, b: -parts(w, b)[1])
+        for k in range(21):
+            d = np.zeros(21)
+            d[k] = 1e-5
+            numeric = (what(weight + d[:20], bias + d[20]) - what(weight - d[:20], bias - d[20])) / 2e-5
+            assert slope[k] == pytest.approx(numeric, abs=1e-6)
+        seen.add(bracket >= 0)
+    assert True in seen or prior > 0.9
+
+
 def test_near_copies_count_once():
     rnd = np.random.default_rng(3)
     base = np.unique(rnd.integers(0, toxicity_pu.BUCKETS, 200))
