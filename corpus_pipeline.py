@@ -6,9 +6,9 @@
 4. Benchmark leaks: documents that hold a benchmark item go.
 5. Tokens: what is left is encoded and decoded.
 
-Null texts count as empty in every stage; rows with a null doc_id are in no group, and stay. A row of a doc_id that occurs
-again is decided as the others with that doc_id are. An empty table passes through. Columns beside those of documents are kept by
-stages 1 to 4.
+Null texts count as empty in every stage; rows with a null doc_id are in no group, and stay. Of rows with one doc_id and
+several texts, stages 1 and 3 decide each by its own text; stages 2 and 4 keep or drop them together, by the text
+that counts (2) or by any (4). An empty table passes through. Columns beside those of documents are kept by stages 1 to 4.
 """
 
 from __future__ import annotations
