@@ -225,6 +225,20 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ids(kept)
 
 
+def test_one_doc_id_on_several_texts(spark, corpus):
+    """No stage fails on rows of one doc_id; passages are cut from each text by its own words."""
+    _, texts, docs, folder = corpus
+    more = spark.createDataFrame([(4, " ".join(["lone", *texts[10].split()[:90], *texts[4].split()[5:]]), "en", "s", 1), (4, texts[4], "en", "s", 1), (5, None, "en", "s", 1), (4, "short", "en", "s", 1)], docs.schema)
+    both = docs.unionByName(more)
+    cut = corpus_pipeline.repeated_passages(spark, both, folder)
+    assert cut.count() == both.count() and cut.where("doc_id = 4 and text = 'short'").count() == 1
+    kept = both
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, folder).cache()
+        assert kept.count() > 0
+    assert {r.doc_id for r in kept.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_stages_call_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "benchmark_leaks", "tokens"]
     assert signature_join and suffix_dedup and piece_codec
