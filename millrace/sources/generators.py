@@ -89,6 +89,15 @@ class JavaRandom:
         return self.next_int(1 << self.next_int(max(1, most.bit_length())))
 
 
+def dictionary(words: int = 1000, seed: int = 0) -> list[str]:
+    """Different invented words of 4 to 12 letters, more of them short, by a seeded rule."""
+    rnd, found = JavaRandom(seed), {}
+    while len(found) < words:
+        size = 4 + min(rnd.next_int(9), rnd.next_int(9))
+        found["".join("bdfgklmnprstvz"[rnd.next_int(14)] if k % 2 == 0 else "aeiou"[rnd.next_int(5)] for k in range(size))] = None
+    return list(found)
+
+
 def random_records(spark: SparkSession, rows: int, kind: str = "word", seed: int = 0, choices: int = 1000, length: int = 8) -> DataFrame:
     """rows seeded (key, value) records of words, numbers or bytes; the same seed gives the same rows."""
     draw = lambda salt: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(choices))

@@ -41,6 +41,12 @@ def test_unknown_kind(spark):
         g.random_records(spark, 1, "x")
 
 
+def test_dictionary():
+    words = g.dictionary(1000)
+    assert len(set(words)) == 1000 and words == g.dictionary(1000) != g.dictionary(1000, 1)
+    assert all(4 <= len(w) <= 12 and w.isalpha() for w in words) and g.dictionary(10) == words[:10]
+
+
 def test_data_source(spark, tmp_path):
     from millrace.sources.datasource import TeraSource
 
