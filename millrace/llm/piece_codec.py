@@ -21,6 +21,8 @@ from millrace.llm._shared import kept_beside, slices, small_batches
 MARK = "▁"
 #: Entries of a task's table, and characters of the longest chunk that it keeps.
 TABLE_ENTRIES, TABLE_CHARS = 300_000, 64
+#: Texts that a normaliser must leave as they are, but for the markers, so that chunks can be told before it.
+PROBES = ["a", " a", "a ", "a  b", "  ", "\tx\n\ny", "ﬁ Ａ é e\u0301 ①", "A\u00a0b\u3000c\u200bd"]
 _CHUNK = re.compile(" *[^ ]+| +$")
 
 
@@ -34,6 +36,9 @@ class ChunkTable:
         crossing = [p for p in map(self.model.id_to_piece, range(self.model.get_piece_size())) if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces cross white-space markers: {crossing[:3]}")
+        changed = [x for x in PROBES if self.model.normalize(x) != MARK + x.replace(" ", MARK)]
+        if changed:
+            raise ValueError(f"the model's normaliser changes texts: {changed[:3]}")
         self.lone = self.model.piece_to_id(MARK)
         self.tail = np.array([self.model.eos_id()] if add_eos else [], np.int32).tobytes()
         self.table: dict[str, tuple[bytes, str]] = {}

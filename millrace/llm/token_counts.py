@@ -1,6 +1,6 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-For a byte-level BPE whose words are split by the usual pattern, the place between a non-space character and a space
+For a byte-level BPE whose words are split by the usual pattern (which the file is checked for; else texts are encoded whole), the place between a non-space character and a space
 is a boundary of words whatever surrounds it: no alternative of the pattern holds a space after another character, and
 its look-ahead only concerns runs of white space. So tokens on either side of such a place don't depend on the other.
 
@@ -12,6 +12,7 @@ and each distinct word of a task is encoded once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -30,6 +31,19 @@ _SPLIT = re.compile(r"(?<=\S) ")
 _STABLE = re.compile(r"(?<=[!-~]) ")
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file is one for which the place before a space behind another character is a boundary.
+
+    It is for byte-level words by the usual pattern, if nothing changes the text before, no model state crosses words, and no added
+    token holds white space or takes in what is beside it.
+    """
+    words, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    usual = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    plain = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    alone = all(not re.search(r"\s", t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens") or [])
+    return bool(usual and plain and alone and spec.get("normalizer") is None)
+
+
 class TokenCounter:
     def __init__(self, tokenizer_file: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,9 +55,9 @@ class TokenCounter:
         self.chunk, self.overlap = chunk, overlap
         self.table: dict[str, int] = {}
         self.widened = 0
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Added tokens that hold white space could straddle a stable boundary: then texts are encoded whole.
-        self.whole = any(re.search(r"\s", x) for x in special)
+        with open(tokenizer_file, encoding="utf-8") as file:
+            #: Whether texts are encoded whole, since no place in them is known to be a boundary.
+            self.whole = not splits_at_spaces(json.load(file))
 
     def encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)

@@ -27,6 +27,24 @@ def test_spliced_counts(chunk, overlap):
     assert counter.by_word(texts) == want
 
 
+@pytest.mark.parametrize("change", ["lstrip", "prefix", "lower", None])
+def test_files_without_the_usual_pattern_are_encoded_whole(tmp_path, change):
+    import json
+
+    spec = json.load(open(BPE, encoding="utf-8"))
+    if change == "lstrip":
+        spec["added_tokens"][0]["lstrip"] = True
+    elif change == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "lower":
+        spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    counter = token_counts.TokenCounter(str(tmp_path / "t.json"), 40, 8)
+    assert counter.whole == (change is not None)
+    texts = random_texts(100, 6) + ["A B  C <|endoftext|> d"]
+    assert counter.count(texts) == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_huge_text():
     rnd = random.Random(1)
     text = "".join(rnd.choices(["the ", "cat", " sat", "\n", "mat. ", "dog's "], k=300_000))
@@ -54,6 +72,24 @@ def test_codec_equals_the_library():
         assert decoded == codec.model.decode(want)
 
 
+def test_a_normaliser_is_refused(monkeypatch):
+    monkeypatch.setattr(piece_codec, "PROBES", ["a" + piece_codec.MARK + "b", "x"])
+    piece_codec.ChunkTable(PIECES)
+
+    class Lower:
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size = staticmethod(lambda: 0)
+        id_to_piece = staticmethod(str)
+        normalize = staticmethod(lambda x: piece_codec.MARK + x.lower())
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Lower)
+    monkeypatch.setattr(piece_codec, "PROBES", ["A"])
+    with pytest.raises(ValueError, match="normaliser"):
+        piece_codec.ChunkTable(PIECES)
+
+
 def test_full_tables_are_emptied(monkeypatch):
     monkeypatch.setattr(piece_codec, "TABLE_ENTRIES", 5)
     codec = piece_codec.ChunkTable(PIECES)
