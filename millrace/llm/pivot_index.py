@@ -28,7 +28,7 @@ from millrace.llm._shared import written
 #: The pivots, the pivots of a vector, rows of a shard and of a block of queries; of each shard, the vectors that are ranked
 #: again: a share of its rows, and so many at least for each neighbour asked for; rows of the sample, the first by a hash
 #: of the key, whose first different vectors are the pivots and whose pairs give the curve.
-PIVOTS, LENGTH, SHARD_ROWS, QUERY_ROWS, SHARE, LEAST, SAMPLE = 256, 64, 8_192, 16_384, 0.1, 10, 1_280
+PIVOTS, LENGTH, SHARD_ROWS, QUERY_ROWS, SHARE, LEAST, SAMPLE = 256, 64, 8_192, 16_384, 0.15, 25, 1_280
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
