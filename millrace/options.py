@@ -16,6 +16,15 @@ LEGACY = {
     "mapred.map.tasks": "maps",
     "total.order.partitioner.path": "cuts",
 }
+#: Legacy option names of plug-ins and their roles (fixed values).
+LEGACY_PLUGS = {
+    "native.recordreader.class": "reader",
+    "native.mapper.class": "mapper",
+    "native.combiner.class": "combiner",
+    "native.partitioner.class": "partitioner",
+    "native.reducer.class": "reducer",
+    "native.recordwriter.class": "writer",
+}
 
 
 def parse_pairs(lines: Iterable[str]) -> dict[str, str]:
@@ -57,10 +66,13 @@ class JobOptions:
     maps: int | None = None  # partitions of the input; None: as it is read
     cuts: str | None = None  # a file of cut points, a line each
     wrap_sums: bool = False
+    plugs: dict = field(default_factory=dict)  # names of plug-ins by role
     extra: dict = field(default_factory=dict)
 
     def with_pairs(self, pairs: dict[str, str]) -> JobOptions:
         """With legacy options applied; those without a field are kept in extra."""
+        named = {LEGACY_PLUGS[k]: v for k, v in pairs.items() if k in LEGACY_PLUGS}
+        pairs = {k: v for k, v in pairs.items() if k not in LEGACY_PLUGS}
         known = {LEGACY[k]: v for k, v in pairs.items() if k in LEGACY}
         for name in ("partitions", "maps"):
             if name in known:
@@ -70,4 +82,4 @@ class JobOptions:
                 known[name] = parse_bool(known[name])
         if "codec" in known:
             known["codec"] = known["codec"].rpartition(".")[2].removesuffix("Codec").lower()
-        return replace(self, **known, extra=self.extra | {k: v for k, v in pairs.items() if k not in LEGACY})
+        return replace(self, **known, plugs=self.plugs | named, extra=self.extra | {k: v for k, v in pairs.items() if k not in LEGACY})

@@ -38,7 +38,7 @@ class Job:
         self.paths: list[str] = []
         self.frames: list[DataFrame] = []
         self.target: str | None = None
-        self.plugs: dict[str, Plug] = {}
+        self.plugs: dict[str, Plug] = dict(self.options.plugs)
         self.counters = counters.Counters()
         self.cuts: list | None = None
 
@@ -108,7 +108,7 @@ class Job:
         plug = self.plugs.get(role)
         found = self._found(role) if role != "combiner" else registry.lookup(plug) if isinstance(plug, str) else plug
         if "options" in inspect.signature(found).parameters:
-            own = {k: v for k, v in asdict(self.options).items() if k != "extra"}
+            own = {k: v for k, v in asdict(self.options).items() if k not in ("extra", "plugs")}
             more["options"] = own | self.options.extra
         return found(df, **more)
 

@@ -99,6 +99,12 @@ def test_options_reach_plug_ins(spark, source):
     assert [(r.key, r.value) for r in got] == [("xx", "3")]
 
 
+def test_plug_ins_named_by_options(spark, source, tmp_path):
+    names = {"native.mapper.class": "core.tokens", "native.reducer.class": "core.count_records", "native.recordwriter.class": "core.text_int", "native.recordreader.class": "core.lines"}
+    Job(spark, JobOptions().with_pairs(names)).input(source).output(str(tmp_path / "out")).run()
+    assert lines_of(tmp_path / "out") == sorted(f"{w}\t{n}" for w, n in Counter(TEXT.split()).items())
+
+
 def test_a_mapper_meets_records_as_they_stand(spark, tmp_path):
     """The order of a small input is that of its files, whatever the number of cores."""
 
