@@ -16,9 +16,15 @@ WORD_SEPARATORS = "[ \\r\\n\\t\\f]+"
 _SPACES = " \t\n\r\f\u000b"
 
 
+def split_words(col: Column) -> Column:
+    """The words of a text, and perhaps empty ones; null gives null. Texts with no separator but spaces are split without a pattern."""
+    other = col.contains("\t") | col.contains("\n") | col.contains("\r") | col.contains("\f")
+    return F.when(other, F.split(col, WORD_SEPARATORS)).otherwise(F.split(col, " "))
+
+
 def words(col: Column) -> Column:
     """The words of a text, without empty ones; null gives null."""
-    return F.filter(F.split(col, WORD_SEPARATORS), lambda w: w != "")
+    return F.filter(split_words(col), lambda w: w != "")
 
 
 def padded(col: Column, width: int, fill: str = " ") -> Column:

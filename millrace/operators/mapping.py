@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import WORD_SEPARATORS
+from millrace.functions.text import split_words
 
 Pair = tuple
 
@@ -26,9 +26,8 @@ def projected(df: DataFrame, key: Column, value: Column, where: Column | None =
 
 
 def tokens(df: DataFrame) -> DataFrame:
-    """(word, 1) for each word of a value."""
-    split = F.split(F.col("value"), WORD_SEPARATORS)  # empty words go after the explode, in compiled code
-    return df.select(F.explode(split).alias("key"), F.lit(1).alias("value")).where("key <> ''")
+    """(word, 1) for each word of a value. Empty words go after the explode, in compiled code."""
+    return df.select(F.explode(split_words(F.col("value"))).alias("key"), F.lit(1).alias("value")).where("key <> ''")
 
 
 def _batched(rows: Iterable[Pair], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
