@@ -95,18 +95,18 @@ def counted_join(big: DataFrame, small: DataFrame, on: list[str], count: str, ho
     return _dealt(big, small.drop(count), on, hot, how, big.columns, most > 0)
 
 
-def dealt_join(big: DataFrame, small: DataFrame, on: str, rows: DataFrame) -> DataFrame:
-    """Inner shuffle join with a table that has a row per key, or few; keys of many rows are dealt over several partitions.
+def dealt_join(big: DataFrame, small: DataFrame, on: str, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Shuffle join (inner or left) with a table that has a row per key, or few; keys of many rows are dealt over several partitions.
 
     rows: a written table of the columns that tell big's rows apart, the key among them.
     """
     total = rows.count()
     share = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
     if total <= share:  # no key has more
-        return big.join(small, on)
+        return big.join(small, on, how)
     counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share)
     hot = written(counts.select(on, F.ceil(F.col("__n") / share).cast("int").alias("__salts")), "hot-keys")
-    return _dealt(big, small, [on], hot, "inner", rows.columns)
+    return _dealt(big, small, [on], hot, how, rows.columns)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -157,18 +157,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the component its smallest node.
 
     Each round, a node takes the smallest label among its neighbours' and then that label's own label (pointer
-    jumping), until nothing changes: the rounds grow with the logarithm of the longest path. Nothing is collected.
+    jumping), until nothing changes: the rounds grow with the logarithm of the longest path. Nothing is collected; nodes
+    with many neighbours, and labels of many nodes, are dealt over several partitions.
     """
     pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = written(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), f"{name}-0")
     turn, last = 0, labels
     while True:
         turn += 1
-        near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        near = dealt_join(pairs, labels.withColumnRenamed("node", "b"), "b", pairs).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("label"))
         half = written(step, f"{name}-{turn}a")
         up = half.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        step = written(half.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("component")), f"{name}-{turn}b")
+        step = written(dealt_join(half, up, "label", half, "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("component")), f"{name}-{turn}b")
         dropped(half, last)
         if not step.where("old <> component").limit(1).count():
             dropped(pairs)

@@ -18,7 +18,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 5, 1 << 16
 #: Members of a leaf, about; bits of a tree's bitmaps, at least and at most; leaves of a shingle that are held against all of
 #: its others in one place.
-LEAF, TREE_BITS, MOST_BITS, TOGETHER = 256, 1024, 16_384, 16
+LEAF, TREE_BITS, MOST_BITS, TOGETHER = 256, 512, 16_384, 16
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -60,8 +60,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def tree_words(n: int) -> int:
-    """The length of a bitmap in a tree, in 64-bit words: two bits a shingle or more, within bounds."""
-    return min(max(TREE_BITS, 1 << (2 * n - 1).bit_length()), MOST_BITS) // 64
+    """The length of a bitmap in a tree, in 64-bit words: a bit or two for each shingle, within bounds."""
+    return min(max(TREE_BITS, 1 << (n - 1).bit_length()), MOST_BITS) // 64
 
 
 def most_overlap(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray) -> int:
@@ -163,14 +163,20 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """Pairs (a, b), a written table, of which the whole sets link."""
-    nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-asked")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b)):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(raw_texts(batch), size)], pa.binary())], names=["node", "shingles"])
+    def sets(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for b in batches for part in slices(b)):
+                own = pa.array([s.tobytes() for s in shingle_sets(raw_texts(batch), size)], pa.binary())
+                keys = ["a", "b"] if key == "b" else ["a"]
+                yield pa.RecordBatch.from_arrays([*(batch.column("doc_id" if k == key else k) for k in keys), own], names=[*keys, f"set_{key}"])
+
+        return run
 
-    found = written(small_join(docs, nodes, ["doc_id"]).mapInArrow(sets, "node long, shingles binary"), f"{name}-sets")
-    side = lambda x: found.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+    # a pair goes to the text of b, and b's set to a's: no set is shuffled but once
+    of_b = small_join(docs, pairs.withColumnRenamed("b", "doc_id"), ["doc_id"]).mapInArrow(sets("b"), "a long, b long, set_b binary")
+    hubs = written(pairs.select(F.col("a").alias("doc_id")).distinct(), f"{name}-hubs")
+    of_a = small_join(docs, hubs, ["doc_id"]).mapInArrow(sets("a"), "a long, set_a binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +187,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
                     rows.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    both = dealt_join(dealt_join(pairs, side("b"), "b", pairs), side("a"), "a", pairs)
-    links_ = written(both.mapInArrow(run, "a long, b long"), f"{name}-links")
-    dropped(nodes, found)
-    return links_
+    out = written(dealt_join(of_b, of_a, "a", pairs).mapInArrow(run, "a long, b long"), f"{name}-links")
+    dropped(hubs)
+    return out
 
 
 class TreeNode:
@@ -262,8 +267,11 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .withColumn("class", F.floor(F.ln("n") / F.lit(step)).cast("long"))
         .withColumn("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LEAF)))
     )
-    leaves = written(placed.groupBy("shingle", "size", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.collect_set(F.struct("node", "n", "group", "at", "bits")).alias("members")), "join-leaves")
-    # a block's leaves are dealt over several partitions, each of which has all leaves that they are held against
+    members = F.collect_set(F.struct("node", "n", "group", "at", "bits")).alias("members")
+    # a block that is no larger than a leaf is a tree of its own
+    alone = placed.where(F.col("size") <= LEAF).groupBy("shingle").agg(members).select(F.col("members").alias("members_a"), F.col("members").alias("members_b"), F.lit(True).alias("same"))
+    leaves = written(placed.where(F.col("size") > LEAF).groupBy("shingle", "size", "class", "leaf").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), members), "join-leaves")
+    # the leaves of larger ones are dealt over several partitions, each of which has all leaves that they are held against
     salts = F.greatest(F.lit(1), F.ceil(F.col("size") / (LEAF * TOGETHER)))
     side = lambda x, of: of.select("shingle", "salt", "kin", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "leaf", "g0", "g1", "members")))
     a = side("a", leaves.withColumn("salt", F.pmod("leaf", salts)).withColumn("kin", F.explode(F.array(F.col("class"), F.col("class") + 1))))
@@ -292,18 +300,18 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                         found = set()
         yield rows()
 
-    return two.mapInArrow(run, "a long, b long").distinct()
+    return alone.unionByName(two).mapInArrow(run, "a long, b long").distinct()
 
 
-def _one_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """docs with one text for each doc_id, that with the least hash, and the doc_ids of the other rows, if there are any."""
-    tagged = docs.withColumn("__tag", F.xxhash64("text"))
-    several = written(tagged.groupBy("doc_id").agg(F.min("__tag").alias("__kept"), F.max("__tag").alias("__last")).where("__kept < __last").drop("__last"), "join-several")
-    if not several.limit(1).count():
+def _one_row(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with one row for each doc_id, of the text with the least hash, and the doc_ids that occur again, if there are any."""
+    tag = F.xxhash64("text")
+    again = written(docs.groupBy("doc_id").agg(F.min(tag).alias("__kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-again")
+    if not again.limit(1).count():
         return docs, None
-    both = small_join(tagged, several, ["doc_id"], "left")
-    other = F.col("__kept").isNotNull() & (F.col("__tag") != F.col("__kept"))
-    return both.where(~other).select("doc_id", "text"), both.where(other).select("doc_id")
+    both = counted_join(docs, again, ["doc_id"], "rows", "left")
+    one = both.where((F.col("__kept") == tag)).dropDuplicates(["doc_id"]).unionByName(both.where("__kept is null"))
+    return written(one.select("doc_id", "text"), "join-rows"), again.select("doc_id", "rows")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -318,8 +326,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lost = docs.where("doc_id is null")
-    docs, others = _one_text(docs.where("doc_id is not null"))
+    lost, every_row = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    docs, again = _one_row(every_row)
     profiles = written(_profiles(docs, size), "join-profiles")
     rows = profiles.where("name is not null").withColumnRenamed("key", "doc_id")
     top = profiles.where("name is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).collect()
@@ -329,16 +337,19 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     known = written(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-known")
     member = written(counted_join(rows.select("doc_id", "n", "name"), known, ["name"], "rows", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "join-members")
-    copies = written(member.where("n > 0 and node <> doc_id").select("doc_id", "node").distinct(), "join-copies")
-    nodes = written(small_join(rows.where("n > 0"), copies, ["doc_id"], "left_anti").select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node"]), "join-nodes")
+    copies = written(member.where("n > 0 and node <> doc_id").select("doc_id", "node"), "join-copies")
+    nodes = written(small_join(rows.where("n > 0"), copies, ["doc_id"], "left_anti").select(F.col("doc_id").alias("node"), "n", "bits"), "join-nodes")
     dropped(profiles, known)
 
     every = written(_entries(docs, frequent, rank, size, percent), "join-entries")
     entries = small_join(every, copies, ["doc_id"], "left").select("shingle", F.coalesce("node", "doc_id").alias("node"), "n", "at")
     count = F.count(F.lit(1))
-    shared = written(entries.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.max("node").alias("last"), count.alias("size"), count.alias("rows")).where("hub.node < last").select("shingle", "hub", "size", "rows"), "join-shared")
-    blocks = written(counted_join(entries, shared, ["shingle"], "rows").where("node <> hub.node").select("shingle", "node", "n", "at", "hub", "size"), "join-blocks")
-    dropped(every, shared)
+    # most shingles are of one node: they go before anything but the nodes is known of the others
+    shared = written(entries.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last"), count.alias("rows")).where("first < last").select("shingle", "first", "rows"), "join-shared")
+    held = written(counted_join(entries, shared, ["shingle"], "rows"), "join-held")
+    hubs = written(held.groupBy("shingle").agg(F.min(F.struct("node", "n", "at")).alias("hub"), count.alias("size"), count.alias("rows")), "join-shingles")
+    blocks = written(counted_join(held.where("node <> first").select("shingle", "node", "n", "at"), hubs, ["shingle"], "rows"), "join-blocks")
+    dropped(every, shared, held, hubs)
 
     # if this is the first shingle that both hold, they share none before their places
     fits = f"{100 + percent} * least(n - at, hub.n - hub.at) >= {percent} * (n + hub.n)"
@@ -363,6 +374,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     second = _verified(rest, docs, size, percent, "join-second")
     groups = grouped(first.union(second))
     out = member.join(groups, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component"))
-    if others is not None:
-        out = out.unionByName(others.join(out.dropDuplicates(["doc_id"]), "doc_id"))
+    if again is not None:
+        result = written(out.join(again, "doc_id"), "join-repeated")
+        ids = every_row.select("doc_id")
+        out = counted_join(ids, result, ["doc_id"], "rows").unionByName(small_join(out, again.select("doc_id"), ["doc_id"], "left_anti"))
     return out.unionByName(written(_profiles(lost, size), "join-lost").where("name is not null").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component")))
