@@ -70,9 +70,9 @@ def pipe_map(df: DataFrame, command: str = "cat", separator: str = "\t") -> Data
     return piped(df, command).select(key.alias("key"), value.alias("value"))
 
 
-def pipe_reduce(df: DataFrame, command: str = "cat", separator: str = "\t", partitions: int | None = None) -> DataFrame:
-    """A command over the records in key order, a line each; its output lines are values with empty keys."""
-    ordered = (df.repartition(partitions, "key") if partitions else df.repartition("key")).sortWithinPartitions("key")
+def pipe_reduce(df: DataFrame, command: str = "cat", separator: str = "\t", partitions: int | None = None, grouped: bool = False) -> DataFrame:
+    """A command over the records in key order, a line each; its output lines are values with empty keys. grouped: they are in order."""
+    ordered = df if grouped else (df.repartition(partitions, "key") if partitions else df.repartition("key")).sortWithinPartitions("key")
     line = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(separator), F.coalesce(F.col("value").cast("string"), F.lit("")))
     return piped(ordered.select(line.alias("value")), command).select(F.lit("").alias("key"), "value")
 

@@ -37,9 +37,9 @@ def folded(df: DataFrame, **states: Column) -> DataFrame:
     return df.groupBy("key").agg(*(col.alias(name) for name, col in states.items()))
 
 
-def identity(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Records grouped and sorted by key."""
-    return (df.repartition(partitions, "key") if partitions else df.repartition("key")).sortWithinPartitions("key")
+def identity(df: DataFrame, partitions: int | None = None, grouped: bool = False) -> DataFrame:
+    """Records grouped and sorted by key; grouped: they are already."""
+    return df if grouped else (df.repartition(partitions, "key") if partitions else df.repartition("key")).sortWithinPartitions("key")
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[Pair]:

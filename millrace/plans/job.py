@@ -2,7 +2,8 @@
 
 A plug-in is a name of the registry, a function from records to records, or a user's mapper or reducer class or record
 function (wrapped by user_map and user_reduce). A function with a parameter `options` is given the job's options as a
-dictionary, and hands them to configure() of a user's class. Sums and counts need no combiner, since Spark combines before each exchange.
+dictionary, and hands them to configure() of a user's class; a reducer with a parameter `grouped` is told that its partitions are
+dealt and sorted already. Sums and counts need no combiner, since Spark combines before each exchange.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def user_map(mapper: type | Callable, schema: str = "key string, value string")
 
 
 def user_reduce(reducer: type | Callable, schema: str = "key string, value string") -> Callable:
-    return lambda df, options=None: reducing.reduced(df, reducer, schema, options=options, grouped=True)
+    return lambda df, options=None, grouped=False: reducing.reduced(df, reducer, schema, options=options, grouped=grouped)
 
 
 class Job:
@@ -107,7 +108,9 @@ class Job:
     def _applied(self, role: str, df: DataFrame, **more) -> DataFrame:  # noqa: ANN003
         plug = self.plugs.get(role)
         found = self._found(role) if role != "combiner" else registry.lookup(plug) if isinstance(plug, str) else plug
-        if "options" in inspect.signature(found).parameters:
+        known = inspect.signature(found).parameters
+        more = {k: v for k, v in more.items() if k in known}
+        if "options" in known:
             own = {k: v for k, v in asdict(self.options).items() if k not in ("extra", "plugs")}
             more["options"] = own | self.options.extra
         return found(df, **more)
@@ -148,7 +151,7 @@ class Job:
         df = self.counters.watch(self._dealt(df), "reduce input")
         if self.options.sort:
             df = ordering.sort_within(df)
-        return self.counters.watch(self._applied("reducer", df), "reduce output")
+        return self.counters.watch(self._applied("reducer", df, grouped=self.options.sort), "reduce output")
 
     def run(self) -> dict[str, dict[str, int]]:
         """Write the output; the counters of the points that the plan passed."""

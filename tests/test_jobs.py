@@ -99,6 +99,16 @@ def test_options_reach_plug_ins(spark, source):
     assert [(r.key, r.value) for r in got] == [("xx", "3")]
 
 
+@pytest.mark.parametrize("plug", ["core.group_identity", "core.pipe_reduce", user_reduce(lambda k, v: [(k, ",".join(v))])])
+def test_reducers_keep_the_partitions(spark, plug):
+    """Records are dealt but once, by the job's partitioner."""
+    rows = spark.range(40).selectExpr("string(id % 8) as key", "string(id) as value")
+    df = Job(spark).input(frame=rows).partitioner(F.col("key").cast("int") % 4).reducer(plug).reduces(4).records()
+    got = df.withColumn("p", F.spark_partition_id()).collect()
+    assert got and all(int((r.key or r.value).split("\t")[0]) % 4 == r.p for r in got)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_plug_ins_named_by_options(spark, source, tmp_path):
     names = {"native.mapper.class": "core.tokens", "native.reducer.class": "core.count_records", "native.recordwriter.class": "core.text_int", "native.recordreader.class": "core.lines"}
     Job(spark, JobOptions().with_pairs(names)).input(source).output(str(tmp_path / "out")).run()
