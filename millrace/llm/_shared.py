@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ from millrace.session import shared_folder
 BROADCAST_ROWS = 100_000
 #: Rows of one key that a shuffle join leaves together.
 HOT_ROWS = 20_000
+#: Bytes that go to Python at once, and bytes of text that are worked on at once there, in the pipeline's stages: their tasks
+#: share executors one after another, in which what is freed of large blocks of native memory stays with the threads that had them.
+BATCH_BYTES, FEW_BYTES = 4 << 20, 1 << 18
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -66,6 +70,23 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: Spark keeps Python workers, and their allocators keep free memory, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), of which nothing stays in a worker when its task is over: an executor has several workers, and holds what their largest tasks left."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written table: it is broadcast if its counted rows are few enough, else both sides are shuffled."""
     return big.join(F.broadcast(small) if small.count() <= most else small, on, how)

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import packed, raw_texts, slices, small_batches, unpacked, written
+from millrace.llm._shared import BATCH_BYTES, FEW_BYTES, mapped, packed, raw_texts, slices, small_batches, unpacked, written
 from millrace.llm._text import SPACE, Words
 
 #: Words of half a passage, which is a piece's length; items of a block, about, and bytes of
@@ -202,15 +203,15 @@ def _basis(table: DataFrame, bench: Benchmark, weight: np.ndarray, own: np.ndarr
                 for key, sums in _run_sums(term[order], half[order], both):
                     total[key] += sums * w[key, None]
         salt = TaskContext.get().partitionId() % 32
-        n = -(-len(total) // rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, salt)), pa.array([total[k * rows : (k + 1) * rows].tobytes() for k in range(n)], pa.binary())], names=["rows", "salt", "sums"])
+        for k in range(-(-len(total) // rows)):  # a row at a time, as the table may be large
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([salt]), pa.array([total[k * rows : (k + 1) * rows].tobytes()], pa.binary())], names=["rows", "salt", "sums"])
 
     def add(part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer()) for x in part["sums"])
         return pa.table({"rows": part["rows"][:1], "salt": part["salt"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "rows long, salt long, sums binary"
-    parts = table.select("blob").mapInArrow(run, schema).groupBy("rows", "salt").applyInArrow(add, schema).groupBy("rows").applyInArrow(add, schema)
+    parts = mapped(table.select("blob"), run, schema).groupBy("rows", "salt").applyInArrow(add, schema).groupBy("rows").applyInArrow(add, schema)
     z = np.concatenate([np.frombuffer(r.sums) for r in sorted(parts.collect(), key=lambda r: r.rows)] or [np.zeros(probes.size)]).reshape(probes.shape)
     z = z + WEIGHT * max(1.0, np.abs(z).max()) * pieces.T @ (pieces @ probes)
     # Nystroem: the square is nearly z (probes' z)^-1 z', of which the left singular vectors of z L^-T are the eigenvectors
@@ -230,7 +231,7 @@ def _places(docs: DataFrame, terms: np.ndarray) -> tuple[DataFrame, np.ndarray,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, words = np.zeros(len(shared.value), np.int64), 0
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
             counts, at, term = places(raw_texts(batch), shared.value)
             n += np.bincount(term, minlength=len(n))
             words += int(counts.sum())
@@ -239,7 +240,7 @@ def _places(docs: DataFrame, terms: np.ndarray) -> tuple[DataFrame, np.ndarray,
         keys = np.r_[np.flatnonzero(n), -1]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(np.r_[n[keys[:-1]], words])], names=["blob", "term", "n"])
 
-    table = written(docs.mapInArrow(read, "blob binary, term long, n long"), "leaks-places")
+    table = written(mapped(docs, read, "blob binary, term long, n long"), "leaks-places")
     counts, total = np.zeros(len(terms)), 1
     for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per term
         if r.term < 0:
@@ -306,7 +307,7 @@ def _of_block(table: DataFrame, bench: Benchmark, counts: np.ndarray, total: int
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([int(own.ids[k]) for _, k in rows], pa.int64()), *(pa.array([r[c] for r in rows.values()], kind) for c, kind in enumerate((pa.float64(), pa.bool_(), pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "share", "answered", "cosine", "start_word", "end_word"])
 
-    return table.mapInArrow(search, SCHEMA)
+    return mapped(table, search, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -318,13 +319,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; items with the same text are found alike, repeated rows of a
     document once each. Texts of any length are read whole; empty tables give no rows; other columns play no part.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     count, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-count // ITEMS), -(-(size or 0) // ITEM_BYTES))
     items = written(items.dropDuplicates(["item_id", "text"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "leaks-items")
-    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    # rows of the driver would come by Python workers of their own, beside those that are already there
+    found = docs.sparkSession.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SCHEMA)))
     for first in range(0, blocks, AT_ONCE):
         rows = items.where(F.col("block").between(first, first + AT_ONCE - 1)).orderBy("block", "item_id", "text").collect()
         texts: dict[int, list] = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm._shared import kept_beside, slices, small_batches
+from millrace.llm._shared import BATCH_BYTES, FEW_BYTES, kept_beside, mapped, slices, small_batches
 
 MARK = "▁"
 #: Entries of a task's table, and characters of the longest chunk that it keeps.
@@ -81,18 +81,18 @@ def encode_decode(df: DataFrame, model_file: str, add_eos: bool = True, text: st
     A null text is empty; an empty text has no ids but the end id, and decodes to the empty string. Equal texts give
     equal rows; an empty table gives an empty one. Columns of df named ids or decoded are replaced.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, size=BATCH_BYTES)
     rows, keep, own, fields = kept_beside(df, text, [text, "ids", "decoded"])
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            for part in slices(batch, own):
+            for part in slices(batch, own, FEW_BYTES):
                 codec = codec or ChunkTable(model_file, add_eos)
                 coded = codec.code([t or "" for t in part.column(own).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(x[0]) // 4 for x in coded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x[0] for x in coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pa.array([x[1] for x in coded], pa.string())], names=[*keep, "ids", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shared import first_by_hash, for_training, kept_beside, packed, raw_texts, slices, small_batches, small_join, unpacked, written
+from millrace.llm._shared import BATCH_BYTES, FEW_BYTES, first_by_hash, for_training, kept_beside, mapped, packed, raw_texts, slices, small_batches, small_join, unpacked, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Buckets of features; labelled rows that are learnt from (those with the smallest hashes of doc_id); texts that must
@@ -147,12 +147,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     A document with several labels has the largest; null labels and null doc_ids teach nothing.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     known = labels.where(for_training() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__label"))
     chosen = first_by_hash(known, sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
             of, found = indicators(raw_texts(batch))
             cut = np.searchsorted(of, np.arange(1, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__label"), pa.array([x.astype(np.int32).tobytes() for x in np.split(found, cut)], pa.binary())], names=["doc_id", "label", "found"])
@@ -162,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         made = fit([np.frombuffer(x[2], np.int32) for x in got], np.array([x[1] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array([made.dump()], pa.binary())], names=["model"])
 
-    found = small_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, ["doc_id"]).mapInArrow(rows, "doc_id long, label int, found binary")
-    made = found.repartition(1).mapInArrow(model, "model binary").collect()
+    found = mapped(small_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, ["doc_id"]), rows, "doc_id long, label int, found binary")
+    made = mapped(found.repartition(1), model, "model binary").collect()
     return Model.load(made[0].model) if made else fit([], np.zeros(0))
 
 
@@ -173,13 +173,13 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     Null and empty texts, and texts without a known n-gram, get the model's score of no features; equal texts get equal
     scores; an empty table gives an empty one. Only the text is used; a column named as `out` is replaced.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     blob = docs.sparkSession.sparkContext.broadcast(model.dump())
     rows, keep, text, fields = kept_beside(docs, "text", [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.load(blob.value)
-        for batch in (part for b in batches for part in slices(b, text)):
+        for batch in (part for b in batches for part in slices(b, text, FEW_BYTES)):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own.score(raw_texts(batch, text)))], names=[*keep, out])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+    return mapped(rows, run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))

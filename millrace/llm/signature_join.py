@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import components, counted_join, dealt_join, dropped, raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import BATCH_BYTES, FEW_BYTES, components, counted_join, dealt_join, dropped, mapped, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, runs
 
 #: Words of a shingle; two sets link if 100 * intersection >= PERCENT * union.
@@ -115,7 +115,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(len(value), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64)), none, none], names=["key", "n", "name", "bits"])
 
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
             sets = shingle_sets(raw_texts(batch), size)
             names = [_name(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([signature(s) for s in sets], pa.binary())], names=["key", "n", "name", "bits"])
@@ -127,7 +127,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
                 gathered, held = [], 0
         yield frequent()
 
-    return docs.mapInArrow(run, "key long, n long, name binary, bits binary")
+    return mapped(docs, run, "key long, n long, name binary, bits binary")
 
 
 def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -135,7 +135,7 @@ def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc, s in zip(ids, shingle_sets(raw_texts(batch), size), strict=True):
                 if len(s) and seen.first(_name(s)):
@@ -145,7 +145,7 @@ def _entries(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, size: int,
                 flat = np.concatenate([x[2] for x in rows]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat([x[0] for x in rows], count)), pa.array(np.repeat([x[1] for x in rows], count)), pa.array(np.concatenate([np.arange(c) for c in count]))], names=["shingle", "doc_id", "n", "at"])
 
-    return docs.mapInArrow(run, "shingle long, doc_id long, n long, at long")
+    return mapped(docs, run, "shingle long, doc_id long, n long, at long")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["a", "b", "most"])
 
     both = dealt_join(dealt_join(pairs, side("b"), "b", pairs), side("a"), "a", pairs)
-    return both.mapInArrow(run, "a long, b long, most long")
+    return mapped(both, run, "a long, b long, most long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
 
     def sets(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (part for b in batches for part in slices(b)):
+            for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
                 own = pa.array([s.tobytes() for s in shingle_sets(raw_texts(batch), size)], pa.binary())
                 keys = ["a", "b"] if key == "b" else ["a"]
                 yield pa.RecordBatch.from_arrays([*(batch.column("doc_id" if k == key else k) for k in keys), own], names=[*keys, f"set_{key}"])
@@ -174,9 +174,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
         return run
 
     # a pair goes to the text of b, and b's set to a's: no set is shuffled but once
-    of_b = small_join(docs, pairs.withColumnRenamed("b", "doc_id"), ["doc_id"]).mapInArrow(sets("b"), "a long, b long, set_b binary")
+    of_b = mapped(small_join(docs, pairs.withColumnRenamed("b", "doc_id"), ["doc_id"]), sets("b"), "a long, b long, set_b binary")
     hubs = written(pairs.select(F.col("a").alias("doc_id")).distinct(), f"{name}-hubs")
-    of_a = small_join(docs, hubs, ["doc_id"]).mapInArrow(sets("a"), "a long, set_a binary")
+    of_a = mapped(small_join(docs, hubs, ["doc_id"]), sets("a"), "a long, set_a binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name:
                     rows.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    out = written(dealt_join(of_b, of_a, "a", pairs).mapInArrow(run, "a long, b long"), f"{name}-links")
+    out = written(mapped(dealt_join(of_b, of_a, "a", pairs), run, "a long, b long"), f"{name}-links")
     dropped(hubs)
     return out
 
@@ -260,7 +260,7 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             bits = [folded(np.frombuffer(x, np.uint64), tree_words(n)).tobytes() for x, n in zip(batch.column("bits").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
 
-    small = nodes.select("node", "n", "bits").mapInArrow(fold, "node long, bits binary")
+    small = mapped(nodes.select("node", "n", "bits"), fold, "node long, bits binary")
     step = np.log(100 / percent) * 1.001 + 1e-9  # sets that can link are of the same class or of neighbouring ones
     placed = (
         blocks.join(small, "node")
@@ -300,7 +300,7 @@ def _tree_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                         found = set()
         yield rows()
 
-    return alone.unionByName(two).mapInArrow(run, "a long, b long").distinct()
+    return mapped(alone.unionByName(two), run, "a long, b long").distinct()
 
 
 def _one_row(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -324,7 +324,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     rows. Of a key with several texts the one with the least xxhash64 counts, and all rows of the key get its results.
     Texts are read whole; an empty table gives no rows; other columns play no part.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     lost, every_row = docs.where("doc_id is null"), docs.where("doc_id is not null")
     docs, again = _one_row(every_row)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import counted_join, dropped, free_name, raw_texts, slices, small_batches, small_join, written
+from millrace.llm._shared import BATCH_BYTES, FEW_BYTES, counted_join, dropped, free_name, mapped, raw_texts, slices, small_batches, small_join, written
 from millrace.llm._text import Words, mixed, prefix_sums, runs, span_hash
 
 #: Words of a window, places among which a minimiser is chosen, and words whose hash is compared.
@@ -69,7 +69,7 @@ def _suffixes(docs: DataFrame, window: int, places: int) -> DataFrame:
     """(head, stretch, doc_id, tag, place): place is where the suffix is, and how far its first and last window are before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, most=FEW_BYTES)):
             words = Words(raw_texts(batch), lower=False)
             text, p, a, b = minimiser_suffixes(words, window, places)
             sums = prefix_sums(words.hash)
@@ -79,13 +79,13 @@ def _suffixes(docs: DataFrame, window: int, places: int) -> DataFrame:
             place = ((p - words.first[text]) * 64 + (p - a)) * 64 + (b - a)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head.view(np.int64), stretch.view(np.int64), ids, tags, place.astype(np.int64))], names=["head", "stretch", "doc_id", "tag", "place"])
 
-    return docs.mapInArrow(run, "head long, stretch long, doc_id long, tag long, place long")
+    return mapped(docs, run, "head long, stretch long, doc_id long, tag long, place long")
 
 
 def _of_entries(docs: DataFrame) -> Iterator[tuple]:
     """For each text with entries: (doc_id, tag, its words, the entries' numbers), whose windows begin at `place // 4096 - place // 64 % 64`."""
     for batch in docs:
-        for part in slices(batch):
+        for part in slices(batch, most=FEW_BYTES):
             for doc, tag, text, entries in zip(part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), raw_texts(part), part.column("entries"), strict=True):
                 x = entries.values
                 yield doc, tag, text, [x.field(c).to_numpy(zero_copy_only=False) for c in ("head", "stretch", "n", "place")]
@@ -109,7 +109,7 @@ def _contexts(docs: DataFrame, window: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "head long, stretch long, n long, doc_id long, tag long, place long, after binary, before binary")
+    return mapped(docs, run, "head long, stretch long, n long, doc_id long, tag long, place long, after binary, before binary")
 
 
 def common_words(rows: list[list[bytes]]) -> np.ndarray:
@@ -190,7 +190,7 @@ def _sorted_entries(contexts: DataFrame, window: int, places: int) -> DataFrame:
             yield judged(rows)
 
     ordered = contexts.repartition("head").sortWithinPartitions("head", "after", "before", "stretch")
-    return ordered.mapInArrow(run, f"head long, stretch long, spans {SPAN}, rest {SPAN}")
+    return mapped(ordered, run, f"head long, stretch long, spans {SPAN}, rest {SPAN}")
 
 
 def _grouped_entries(docs: DataFrame, window: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _grouped_entries(docs: DataFrame, window: int) -> DataFrame:
             same = [np.full(len(of), x, np.int64) for x in (doc, tag)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head[of], content, stretch[of], offset.astype(np.int32), n[of], *same, start.astype(np.int32))], names=["head", "content", "stretch", "offset", "n", "doc_id", "tag", "start"])
 
-    windows = docs.mapInArrow(run, "head long, content long, stretch long, offset int, n long, doc_id long, tag long, start int")
+    windows = mapped(docs, run, "head long, content long, stretch long, offset int, n long, doc_id long, tag long, start int")
     windows = written(windows.dropDuplicates(["head", "stretch", "offset"]), "passages-windows")
     place = F.struct("doc_id", "tag", "start")
     groups = windows.groupBy("head", "content").agg(F.sum("n").alias("n_"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("n_ > 1").drop("n_")
@@ -224,7 +224,7 @@ def _grouped_entries(docs: DataFrame, window: int) -> DataFrame:
                 out.append((_spans(again, window), _spans(again & ~own, window)))
             yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("stretch"), *(pa.array([x[k] for x in out], _SPANS) for k in range(2))], names=["head", "stretch", "spans", "rest"])
 
-    return gathered.mapInArrow(spans, f"head long, stretch long, spans {SPAN}, rest {SPAN}")
+    return mapped(gathered, spans, f"head long, stretch long, spans {SPAN}, rest {SPAN}")
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -254,7 +254,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
     """
     if not 0 < places <= min(64, window - GRAM):
         raise ValueError("places must be 1 to 64, and leave five words of a window")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     docs = tagged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     # joins are by shuffles at every size: their sides grow with the documents
     suffixes = written(_suffixes(docs, window, places), "passages-suffixes")
@@ -295,7 +295,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, places: int = PLACE
                 out.append(pa.array([[{"start": a, "end": b} for a, b in _joined(*x)] for x in ends], _SPANS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *out], names=["doc_id", "tag", "spans", "cuts"])
 
-    return gathered.mapInArrow(passages, f"doc_id long, tag long, spans {SPAN}, cuts {SPAN}")
+    return mapped(gathered, passages, f"doc_id long, tag long, spans {SPAN}, cuts {SPAN}")
 
 
 def cut_text(text: bytes, cuts: list[tuple[int, int]]) -> bytes:

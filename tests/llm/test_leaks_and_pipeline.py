@@ -7,7 +7,7 @@ from tests.llm.conftest import ODD, words
 
 import corpus_pipeline
 from millrace.llm import latent_leaks as leaks
-from millrace.llm import piece_codec, signature_join, suffix_dedup
+from millrace.llm import piece_codec, quality_nbsvm, signature_join, suffix_dedup
 
 
 def lcs(a, b):
@@ -256,3 +256,35 @@ def test_clashing_columns(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, more, folder).columns == more.columns
     assert corpus_pipeline.STAGES[4][1](spark, more, folder).count() == docs.count()
+
+
+def test_workers_give_memory_back(spark):
+    """Texts that are learnt from take hundreds of megabytes of the workers that read them and fit the model, which Spark keeps for the next stages."""
+
+    def probe(batches):
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for batch in batches:
+            held = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+            yield pa.RecordBatch.from_arrays([pa.array([float(held)])], names=["mb"])
+
+    def largest():
+        return spark.range(0, 64, 1, 64).mapInArrow(probe, "mb double").agg(F.max("mb")).first()[0]
+
+    text = "array_join(transform(sequence(1, 400), x -> concat('w', pmod(xxhash64(id, x), 20000))), ' ') as text"
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id as doc_id", text)
+    labels = spark.range(12_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    before = largest()
+    quality_nbsvm.train(docs, labels)
+    assert largest() - before < 60
+
+
+def test_no_workers_but_those_of_arrow(spark, docs_of, planted):
+    """The leaks' table holds no rows that come from the driver by Python, which takes another daemon in each executor."""
+    bench = spark.createDataFrame([], "item_id long, text string")
+    found = leaks.leaks(docs_of(planted[1]), bench)
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.schema.simpleString() == spark.createDataFrame([], leaks.SCHEMA).schema.simpleString()
