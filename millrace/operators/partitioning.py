@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import partition_by_hash
+from millrace.operators.ordering import ROW_BITS
+from millrace.session import shared_folder
 
-#: Cut points up to which they are compared one by one.
-FLAT_CUTS = 32
+#: Cut points up to which they are compared one by one; keys up to which the driver holds them to pick cut points.
+FLAT_CUTS, HELD_KEYS = 32, 100_000
 
 
 def by_hash(df: DataFrame, n: int, key: str = "key", compatible: bool = False) -> DataFrame:
@@ -49,26 +52,67 @@ def partition_of(key, cuts: list) -> int:  # noqa: ANN001
     return low
 
 
-def sample_cuts(df: DataFrame, n: int, key: str = "key", sample: int = 100_000) -> list:
-    """n - 1 cut points, or fewer, at even steps of a sorted sample of about `sample` rows; all rows, if there are no more.
+def sample_cuts(df: DataFrame, n: int, key: str = "key", sample: int | None = 100_000) -> list:
+    """n - 1 cut points, or fewer, at even steps of a sorted sample of about `sample` rows; all rows, if there are no more, or for None.
 
-    Rows are taken by a hash of their places, so a key is in the sample as often as its share of the rows demands.
+    Rows are taken by a hash of their places, so a key is in the sample as often as its share of the rows demands. The driver
+    holds HELD_KEYS keys or so at most; more are counted and sorted by Spark, with the same result.
     """
     keys = df.select(F.col(key).alias("k")).where("k is not null")
     rows = keys.count()
-    if rows > sample:
+    if sample is not None and rows > sample:
         most = int(sample / rows * (1 << 62))
         keys = keys.where(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), 2) < most)
+        rows = sample
+    if rows > HELD_KEYS:
+        return _picked(keys, n)
     found = sorted(r.k for r in keys.collect())
-    if n > max(1, len(found)):
-        raise ValueError(f"{n} partitions of {len(found)} sampled keys")
+    _enough(len(found), n)
     return pick_cuts(found, n)
 
 
+def _enough(rows: int, n: int) -> None:
+    if n > max(1, rows):
+        raise ValueError(f"{n} partitions of {rows} sampled keys")
+
+
+def _places(rows: int, n: int) -> list[int]:
+    """Those of n - 1 even steps among so many rows."""
+    step = rows / n
+    return [min(rows - 1, int(math.floor(step * i + 0.5))) for i in range(1, n)]
+
+
 def pick_cuts(keys: list, n: int) -> list:
     """Of sorted keys, those at even steps, each once: equal cut points would have empty partitions between them."""
-    step = len(keys) / n
-    return sorted({keys[min(len(keys) - 1, int(math.floor(step * i + 0.5)))] for i in range(1, n)})
+    return sorted({keys[p] for p in _places(len(keys), n)})
+
+
+def _picked(keys: DataFrame, n: int) -> list:
+    """pick_cuts of a column k of any size: what comes to the driver is a row for each partition, and the cut points.
+
+    Distinct keys are written once, sorted, with their counts, so a hot key is a row; only in the partitions in which a place falls are
+    rows numbered.
+    """
+    spark = keys.sparkSession
+    path = f"{shared_folder(spark)}/millrace/cuts-{uuid.uuid4().hex}"
+    ordered = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy("k").withColumn("id", F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    rows = spark.read.schema(ordered.schema).parquet(path).withColumn("part", F.shiftrightunsigned("id", ROW_BITS))
+    sizes = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(size for _, size in sizes)
+    _enough(total, n)
+    places, starts, before = _places(total, n), [], 0
+    for part, size in sizes:
+        if bisect_left(places, before) < bisect_left(places, before + size):
+            starts.append((part, before))
+        before += size
+    held = rows.join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("id"))
+    wanted = held.select("k", "n", end.alias("end")).where(total_order(F.col("end") - 1, places) > total_order(F.col("end") - F.col("n") - 1, places))
+    cuts = sorted(r.k for r in wanted.select("k").collect())
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).delete(written, True)
+    return cuts
 
 
 def read_cuts(spark: SparkSession, path: str) -> list[str]:

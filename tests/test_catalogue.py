@@ -43,6 +43,14 @@ def test_lines_of_odd_texts(spark, tmp_path):
     assert rows(got) == rows(own.execute(catalogue.ORACLES["line_reader_crlf"]).df()) and "" in set(got[got.doc_id == 0].line)
 
 
+def test_cuts_of_more_keys_than_the_driver_holds(spark, tmp_path):
+    people = spark.range(0, 120_000, 1, 4).selectExpr("id as c_custkey", "concat('Customer#', id * 7919 % 100003) as c_name")
+    people.write.parquet(str(tmp_path / "customer.parquet"))
+    own = duckdb.connect()
+    own.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows(catalogue.QUERIES["sampled_cuts"](spark, str(tmp_path)).toPandas()) == rows(own.execute(catalogue.ORACLES["sampled_cuts"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 

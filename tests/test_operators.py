@@ -68,6 +68,20 @@ def test_cuts_of_a_hot_key(spark, sample):
     assert sum(got.values()) == 30_000 and sorted(got.values())[-2] < 2 * 30_000 / 9
 
 
+@pytest.mark.parametrize(("n", "kinds"), [(1, 5000), (2, 5000), (9, 5000), (50, 3), (400, 5000)])
+def test_cuts_of_many_keys_are_picked_by_spark(spark, monkeypatch, n, kinds):
+    """The same cut points as of all keys sorted on the driver, which is handed few rows."""
+    df = spark.range(0, 20_000, 1, 5).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 != 1, F.concat(F.lit("é"), F.expr(f"id * 7919 % {kinds}"))).alias("key"))
+    want = partitioning.pick_cuts(sorted(r.key for r in df.collect() if r.key is not None), n)
+    monkeypatch.setattr(partitioning, "HELD_KEYS", 1000, raising=False)
+    got, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(collect(self)) or got[-1])
+    assert partitioning.sample_cuts(df, n, sample=1 << 24) == partitioning.sample_cuts(df, n, sample=None) == want
+    assert sum(map(len, got)) < 2 * (n + 100)
+    with pytest.raises(ValueError, match="partitions of"):
+        partitioning.sample_cuts(df, 20_001, sample=None)
+
+
 def test_places_in_the_whole_order(spark):
     df = spark.range(0, 5_000, 1, 7).selectExpr("(id * 7919) % 5003 as k")
     got = ordering.numbered(df.repartitionByRange(6, "k").sortWithinPartitions("k")).collect()
