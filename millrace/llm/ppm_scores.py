@@ -33,6 +33,7 @@ _U = np.uint64
 ORDER, CHUNK_BYTES, BLOCK_BYTES, PART_BYTES = 5, 1 << 24, 1 << 20, 1 << 25
 #: What stands for the end of a text among the hashes of words.
 END = _U(0x0E0D0E0D0E0D0E0D)
+_BLOBS = "kind string, chunk string, part int, blob binary"
 
 
 def normal(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +133,8 @@ def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return value, np.bincount(at, np.concatenate([c for _, c in pairs]), len(value)).astype(np.int64)
 
 
-def _chunks(docs: DataFrame, parts: int, order: int) -> DataFrame:
-    """Rows of kind T (a chunk's texts), W and G (its distinct words and strings of a part, with their training counts)."""
+def _chunks(docs: DataFrame, parts: int, order: int | None) -> DataFrame:
+    """Rows of kind T (a chunk's texts), W and G (its distinct words and strings of a part, with their training counts); no order: no strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -143,7 +144,7 @@ def _chunks(docs: DataFrame, parts: int, order: int) -> DataFrame:
             name = f"{task}-{made}"
             keys = pa.concat_arrays(ids)
             rows = [("T", name, -1, packed(keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), np.concatenate(norms)))]
-            for kind, own in (("W", words_), ("G", grams)):
+            for kind, own in (("W", words_), ("G", grams))[: 1 if order is None else 2]:
                 value, count = _summed(own)
                 part = _parts(value, parts)
                 by = np.argsort(part, kind="stable")
@@ -159,7 +160,8 @@ def _chunks(docs: DataFrame, parts: int, order: int) -> DataFrame:
             norms.append(norm)
             learnt = np.repeat(train, np.diff(words.first))
             words_.append(_summed([(words.hash, learnt.astype(np.int64)), (np.array([END]), np.array([train.sum()]))]))
-            grams.append(_summed([(strings(norm, order), np.repeat(train, np.diff(begin)).astype(np.int64))]))
+            if order is not None:
+                grams.append(_summed([(strings(norm, order), np.repeat(train, np.diff(begin)).astype(np.int64))]))
             held += len(norm)
             if held >= CHUNK_BYTES:
                 yield flush()
@@ -167,7 +169,7 @@ def _chunks(docs: DataFrame, parts: int, order: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, "kind string, chunk string, part int, blob binary")
+    return docs.mapInArrow(run, _BLOBS)
 
 
 def _unpacked_part(table: pa.Table) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
@@ -192,30 +194,9 @@ def _string_sums(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array(np.full(len(value), table["part"][0].as_py(), np.int32)), "code": pa.array(value.view(np.int64)), "n": pa.array(count)})
 
 
-def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """For each row its key, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
-
-    train: a column that holds for the rows to learn from; null is false. A null text is empty and has an end only, as has one without words. Texts
-    of any length are scored whole; equal texts get equal scores; repeated rows are learnt as often as they stand; rows with
-    a null key are scored too. Without rows to learn from, each byte has the probability 1/256 and known words are none. An
-    empty table gives no rows; other columns play no part. Words are told apart by 64-bit hashes.
-    """
-    if order < 2:
-        raise ValueError("contexts have two bytes at least")
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, -(-total // PART_BYTES))
-    table = written(_chunks(docs, parts, order), "ppm-chunks", "kind")
-    schema = "kind string, chunk string, part int, blob binary"
-    of = lambda kind: table.where(F.col("kind") == kind).select("chunk", "part", "blob")
-
-    words = written(of("W").repartition(parts, "part").groupBy("part").applyInArrow(_word_sums, "chunk string, part int, blob binary, total long, distinct long"), "ppm-words")
-    sums = words.where("chunk is null").agg(F.sum("total"), F.sum("distinct")).first()
-    learnt, distinct = sums[0] or 0, sums[1] or 0
-
-    grams = written(of("G").repartition(parts, "part").groupBy("part").applyInArrow(_string_sums, "part int, code long, n long"), "ppm-strings")
+def _string_values(own: DataFrame, parts: int, order: int) -> DataFrame:
+    """For the chunks' distinct strings (rows of kind G), the model's values of them, in the same order."""
+    grams = written(own.repartition(parts, "part").groupBy("part").applyInArrow(_string_sums, "part int, code long, n long"), "ppm-strings")
     near = F.shiftrightunsigned("code", 8 * order).cast("int").alias("near")
     one = np.zeros((256, 256))
     for r in grams.groupBy(near, F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
@@ -238,17 +219,51 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
     by = lambda x: x.groupBy("contexts")
     valued = written(by(dealt.select("contexts", "part", "code", "n")).cogroup(by(shorter)).applyInArrow(model, "part int, code long, value double"), "ppm-model")
 
-    def back(own: pa.Table, known: pa.Table) -> pa.Table:
+    def back(asked: pa.Table, known: pa.Table) -> pa.Table:
         """Each chunk's strings' values."""
         code = known["code"].to_numpy().view(np.uint64)
         at = np.argsort(code)
         code, value = code[at], known["value"].to_numpy()[at].astype(np.float32)
-        chunks, values, _ = _unpacked_part(own)
+        chunks, values, _ = _unpacked_part(asked)
         blobs = [packed(value[np.searchsorted(code, v)]) for v in values]
-        return pa.table({"kind": pa.array(["G"] * len(chunks), pa.string()), "chunk": pa.array(chunks, pa.string()), "part": own["part"], "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"kind": pa.array(["G"] * len(chunks), pa.string()), "chunk": pa.array(chunks, pa.string()), "part": asked["part"], "blob": pa.array(blobs, pa.binary())})
+
+    return own.groupBy("part").cogroup(valued.groupBy("part")).applyInArrow(back, _BLOBS)
+
+
+def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """For each row its key, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text).
+
+    train: a column that holds for the rows to learn from; null is false. A null text is empty and has an end only, as has one without words. Texts
+    of any length are scored whole; equal texts get equal scores; repeated rows are learnt as often as they stand; rows with
+    a null key are scored too. Without rows to learn from, each byte has the probability 1/256 and known words are none. An
+    empty table gives no rows; other columns play no part. Words are told apart by 64-bit hashes.
+    """
+    if order < 2:
+        raise ValueError("contexts have two bytes at least")
+    return _scored(docs, train, key, text, order)
+
+
+def base_scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of scores but for the last, to the last bit, by the same chunks and parts: the byte model, which only that one needs, isn't made."""
+    return _scored(docs, train, key, text, None)
+
 
-    string_values = of("G").groupBy("part").cogroup(valued.groupBy("part")).applyInArrow(back, schema)
-    values = words.where("chunk is not null").select(F.lit("W").alias("kind"), "chunk", "part", "blob").unionByName(string_values)
+def _scored(docs: DataFrame, train, key: str, text: str, order: int | None) -> DataFrame:
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-total // PART_BYTES))
+    table = written(_chunks(docs, parts, order), "ppm-chunks", "kind")
+    of = lambda kind: table.where(F.col("kind") == kind).select("chunk", "part", "blob")
+
+    words = written(of("W").repartition(parts, "part").groupBy("part").applyInArrow(_word_sums, "chunk string, part int, blob binary, total long, distinct long"), "ppm-words")
+    sums = words.where("chunk is null").agg(F.sum("total"), F.sum("distinct")).first()
+    learnt, distinct = sums[0] or 0, sums[1] or 0
+
+    values = words.where("chunk is not null").select(F.lit("W").alias("kind"), "chunk", "part", "blob")
+    if order is not None:
+        values = values.unionByName(_string_values(of("G"), parts, order))
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         out = []
@@ -260,7 +275,8 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
             for a, b in zip([0, *cuts], [*cuts, len(ends)], strict=True):
                 own = norm[ends[a - 1] if a else 0 : ends[b - 1]]
                 words = Words(own.tobytes().split(b"\n")[:-1], lower=False)
-                word, gram = np.unique(words.hash, return_inverse=True), np.unique(strings(own, order), return_inverse=True)
+                word = np.unique(words.hash, return_inverse=True)
+                gram = (words.hash[:0],) * 2 if order is None else np.unique(strings(own, order), return_inverse=True)
                 blocks.append((words.first, word[0], word[1].astype(np.int32), np.flatnonzero(own == 10) + 1, gram[0], gram[1].astype(np.int32)))
 
             def table_of(kind: str, distinct_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +288,7 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
                 return value, result
 
             word, times = table_of("W", [np.append(x[1], END) for x in blocks])
-            gram, value = table_of("G", [x[4] for x in blocks])
+            gram, value = table_of("G", [x[4] for x in blocks]) if order is not None else (None, None)
             end_times = times[np.searchsorted(word, END)]
             n_tokens, known, base, bits = [], [], [], []
             for first, w, w_at, end, g, g_at in blocks:
@@ -280,12 +296,16 @@ def scores(docs: DataFrame, train, key: str = "doc_id", text: str = "text", orde
                 n_tokens.append(np.diff(first) + 1)
                 known.append(_sums(c > 0, first) + (end_times > 0))
                 base.append(_sums(np.log10(c + 1), first) + math.log10(end_times + 1))
-                bits.append(np.add.reduceat(value[np.searchsorted(gram, g)][g_at], np.concatenate([[0], end[:-1]])))
-            n, k, s, v = (np.concatenate(x) for x in (n_tokens, known, base, bits))
-            out.append(pa.table({"doc_id": pa.array(ids, pa.int64(), mask=lost), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(np.rint(k).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), learnt)), "base_score": pa.array(s - n * math.log10(learnt + distinct + 1)), "score": pa.array(v)}))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
-
-    return of("T").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                if order is not None:
+                    bits.append(np.add.reduceat(value[np.searchsorted(gram, g)][g_at], np.concatenate([[0], end[:-1]])))
+            n, k, s = (np.concatenate(x) for x in (n_tokens, known, base))
+            columns = {"doc_id": pa.array(ids, pa.int64(), mask=lost), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(np.rint(k).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), learnt)), "base_score": pa.array(s - n * math.log10(learnt + distinct + 1))}
+            out.append(pa.table(columns if order is None else columns | {"score": pa.array(np.concatenate(bits))}))
+        return pa.concat_tables(out) if out else pa.schema([(c, pa.float64() if c.endswith("score") else pa.int64()) for c in names]).empty_table()
+
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", *["score"] * (order is not None)]
+    schema = ", ".join(f"{c} {'double' if c.endswith('score') else 'long'}" for c in names)
+    return of("T").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:

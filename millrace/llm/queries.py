@@ -32,9 +32,9 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_ppm_scores(spark: SparkSession, sf_dir: str, scores=ppm_scores.scores) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return ppm_scores.scores(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+    return scores(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
 
 
 def _classified(spark: SparkSession, sf_dir: str, classifier, least: float) -> DataFrame:
@@ -83,7 +83,7 @@ QUERIES |= {f.__name__: f for f in (op1_suffix_dedup, op2_seekable_warc, op3_ppm
 
 def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op3 SQL can express: all its columns but the model's own score."""
-    kept = op3_ppm_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+    kept = op3_ppm_scores(spark, sf_dir, ppm_scores.base_scores).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
     return kept
 
 

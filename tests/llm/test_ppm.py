@@ -96,6 +96,15 @@ def test_query(spark, docs_of, rnd, monkeypatch):
             assert got[k].score == pytest.approx(code_length(trie, t, ppm.ORDER), rel=1e-4, abs=1e-4)
 
 
+def test_base_scores_without_the_byte_model(spark, docs_of, rnd, nothing):
+    df = docs_of(ODD + [" ".join(words(rnd, rnd.randrange(90), 60)) for _ in range(60)]).union(docs_of(["lost w1x1"]).withColumn("doc_id", F.lit(None).cast("long")))
+    train = F.col("doc_id") % 3 != 1
+    whole, base = ppm.scores(df, train), ppm.base_scores(df, train)
+    assert base.columns == whole.columns[:-1] and base.dtypes == whole.dtypes[:-1]
+    assert sorted(map(str, base.collect())) == sorted(map(str, whole.drop("score").collect()))
+    assert ppm.base_scores(nothing, F.lit(True)).count() == 0
+
+
 def test_many_chunks_and_none(spark, docs_of, rnd, nothing, monkeypatch):
     assert ppm.scores(nothing, F.lit(True)).count() == 0
     texts = [" ".join(words(rnd, 50)) for _ in range(60)]

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from millrace.llm import ppm_scores
 from millrace.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -34,6 +35,13 @@ def test_oracle(spark, con, name):
     assert rows(got) == rows(want)
 
 
+def test_unigram_base_makes_no_byte_model(spark, monkeypatch):
+    """Its columns don't need one, whose strings are most of op3's work."""
+    names, written = [], ppm_scores.written
+    monkeypatch.setattr(ppm_scores, "written", lambda df, name, *more: names.append(name) or written(df, name, *more))
+    assert QUERIES["unigram_base"](spark, DATA).count() and names == ["ppm-chunks", "ppm-words"]
+
+
 CONTRACT = {
     "op2_seekable_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op3_ppm_scores": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
